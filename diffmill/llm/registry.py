@@ -6,7 +6,9 @@ from importlib import import_module
 
 #: Query name to the module that has query() and, where SQL can express it, ORACLE.
 MODULES = {
+    "op1_token_counts": "token_counts",
     "op2_exact_dedup": "exact_dedup",
+    "op8_chat_format": "chat_format",
 }
 
 
