@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_token_counts": "token_counts",
     "op2_exact_dedup": "exact_dedup",
+    "op5_simhash": "simhash",
     "op8_chat_format": "chat_format",
 }
 
