@@ -8,8 +8,10 @@ from importlib import import_module
 MODULES = {
     "op1_token_counts": "token_counts",
     "op2_exact_dedup": "exact_dedup",
+    "op4_sharding": "sharding",
     "op5_simhash": "simhash",
     "op6_quality_rules": "quality_rules",
+    "op7_packing": "packing",
     "op8_chat_format": "chat_format",
     "op9_secret_scan": "secret_scan",
     "op10_mixing": "mixing",
