@@ -10,6 +10,7 @@ ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 os.environ.setdefault("TZ", "UTC")
+os.environ.setdefault("OMP_NUM_THREADS", "1")
 
 
 @pytest.fixture(scope="session")
