@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_token_counts": "token_counts",
     "op2_exact_dedup": "exact_dedup",
+    "op3_warc": "warc",
     "op4_sharding": "sharding",
     "op5_simhash": "simhash",
     "op6_quality_rules": "quality_rules",
