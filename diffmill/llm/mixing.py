@@ -162,9 +162,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     # joined by number: each slot's block with the pieces of documents that the block holds
     drawn = slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
     pieces = placed.where("size > 0").select("source_no", "first", "size", F.explode(F.expr(f"sequence(first DIV {block}, (first + size - 1) DIV {block})")).alias("block"))
-    held = pieces.join(drawn, ["source_no", "block"]).selectExpr("source_no AS n", "first AS f", f"times * (least(first + size, (block + 1) * {block}) - greatest(first, block * {block})) AS words")
+    # merge joins: Spark guesses the size of an explosion by that of what it explodes, and would broadcast all pieces
+    held = pieces.join(drawn.hint("merge"), ["source_no", "block"]).selectExpr("source_no AS n", "first AS f", f"times * (least(first + size, (block + 1) * {block}) - greatest(first, block * {block})) AS words")
     taken = held.groupBy("n", "f").agg(F.sum("words").alias("taken"))
-    out = placed.join(taken, (F.col("source_no") == F.col("n")) & (F.col("first") == F.col("f")), "left")
+    out = placed.join(taken.hint("merge"), (F.col("source_no") == F.col("n")) & (F.col("first") == F.col("f")), "left")
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "source_no", "first"), slots
 
 
@@ -178,7 +179,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     times = written(times.where("__times > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__times"), "mix-times")
     rows = docs.withColumn("__words", word_count(F.col(text_col)))
     same = rows[id_col].eqNullSafe(F.col("__id")) & rows[source_col].eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
-    rows = rows.join(times, same).withColumn("__copy", F.explode(F.expr("sequence(1, __times)")))
+    rows = rows.join(times.hint("merge"), same).withColumn("__copy", F.explode(F.expr("sequence(1, __times)")))
     return rows.select(*(rows[c] for c in docs.columns))
 
 
