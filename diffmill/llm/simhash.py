@@ -23,7 +23,7 @@ from diffmill.llm.common import partitions, table, written
 
 WORDS, RADIUS, BITS, SEED = 4, 4, 64, 42
 #: A key that more distinct fingerprints share is dealt out once more by their other bits.
-HOT = 1024
+HOT = 8192
 #: Fingerprints compared at once against a block; bounds the memory of a comparison.
 QUERIES, BLOCK = 256, 16_384
 _TABLE = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\v\f\r", bytes(range(97, 123)) + b"     ")
@@ -124,7 +124,7 @@ def spanning_links(fps: np.ndarray, radius: int, free: list[int]) -> list[tuple[
     """Positions of linked fingerprints, as a spanning forest of all links. fps are distinct and may differ in the bits
     of free only. Large sets are cut by ranges of those bits first, as within() compares each with each."""
     forest = Forest(len(fps))
-    if len(fps) <= 4 * HOT or len(free) <= radius + 1:
+    if len(fps) <= 2 * HOT or len(free) <= radius + 1:
         order = free or [0]
         for at in range(0, len(fps), BLOCK):
             block = fps[at : at + BLOCK]
@@ -252,17 +252,57 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def simhash_dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_hashes(text: str | None, k: int) -> bytes:
+    """The set of hashes of a text's k-word shingles, sorted, 8 bytes each; fewer words are one shingle, none is empty."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
+    if not words:
+        return b""
+    last = max(len(words) - k + 1, 1)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), SEED) for i in range(last)), np.uint64, last)).tobytes()
+
+
+def _shingled(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(x.as_py(), k) for x in batch.column(1)], pa.binary())], ["node", "hashes"])
+
+
+def _similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            p, q = np.frombuffer(x.as_buffer() or b"", np.uint64), np.frombuffer(y.as_buffer() or b"", np.uint64)
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            keep.append(both >= least * (len(p) + len(q) - both))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def checked(edges: DataFrame, distinct: DataFrame, docs: DataFrame, least: float, k: int, id_col: str, text_col: str) -> DataFrame:
+    """The links whose texts, those of the least id of either fingerprint, have a Jaccard similarity of least or more over
+    their k-word shingles. Only texts of linked fingerprints are read; a link to a fingerprint without an id goes."""
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct, "fp").select(F.col("fp").alias("node"), "least")
+    texts = docs.select(F.col(id_col).cast("long").alias("least"), F.col(text_col).cast("string").alias("text")).join(written(nodes, "simhash-nodes"), "least")
+    sets = written(texts.select("node", "text").mapInArrow(partial(_shingled, k=k), "node long, hashes binary").groupBy("node").agg(F.min("hashes").alias("hashes")), "simhash-sets")
+    both = edges.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("p")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("q")), "b")
+    return both.select("a", "b", "p", "q").mapInArrow(partial(_similar, least=least), "a long, b long")
+
+
+def simhash_dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", least: float | None = None, least_words: int = 5) -> DataFrame:
     """A row for each row of docs: doc_id, fingerprint (16 lowercase hex digits), component_id (smallest id reachable over
     links between fingerprints that differ in radius bits at most, itself included).
 
     Letters A-Z count as a-z, words end at the space and the code points 9 to 13, and a text of fewer words is one shingle.
     Null and empty texts have the fingerprint zero, which links like any other. Rows that repeat are returned as often as
     they come. Null ids are returned; a component whose ids are all null has a null component_id. No rows give none.
+    least: also check each link of the spanning forests by the similarity of its texts over least_words-word shingles.
     """
     rows = written(fingerprints(docs, words, id_col, text_col), "simhash")
     distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    root = written(components(links(distinct, radius)), "simhash-roots")
+    edges = links(distinct, radius)
+    if least is not None:
+        edges = checked(written(edges, "simhash-links"), distinct, docs, least, least_words, id_col, text_col)
+    root = written(components(edges), "simhash-roots")
     named = distinct.join(root, distinct["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     # unlinked fingerprints have their own least id; only linked ones meet their component
@@ -270,9 +310,9 @@ def simhash_dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, id_
     return rows.join(linked, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", least: float | None = None) -> DataFrame:
     """The rows of docs whose id is the smallest of its component, with all columns; rows of a null id stay."""
-    found = simhash_dedup(docs, words, radius, id_col, text_col)
+    found = simhash_dedup(docs, words, radius, id_col, text_col, least)
     gone = written(found.where("doc_id > component_id").select(F.col("doc_id").alias("__gone")).distinct(), "simhash-gone")
     return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
 

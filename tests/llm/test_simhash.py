@@ -116,3 +116,17 @@ def test_one_row_of_each_component_stays(spark):
     docs = spark.createDataFrame([(3, "a b c d e f", 1), (1, "A b c d e f", 2), (2, "something else here now", 3), (None, "a b c d e f", 4)], "doc_id long, text string, n int")
     got = s.drop_near_copies(docs)
     assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == [(1, "A b c d e f", 2), (2, "something else here now", 3), (None, "a b c d e f", 4)]
+
+
+def test_links_are_checked_by_similarity(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(200)]
+    near, far = [*base], [*base]
+    near[100] = "other"
+    for i in range(0, 200, 20):
+        far[i] = f"x{i}"
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far)), (4, "alone in here"), (None, " ".join(base)), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in s.simhash_dedup(docs, radius=30, least=0.8).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, None: 1, 5: 5}
+    assert s.simhash_dedup(docs.where("false"), radius=30, least=0.8).collect() == []
