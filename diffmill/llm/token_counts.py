@@ -23,13 +23,6 @@ OVER = 1024
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
-def _byte_alphabet() -> dict[str, int]:
-    """The printable stand-in of each byte in byte-level vocabularies: printable Latin-1 stays, others move past 255."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    moved = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(moved)}
-
-
 def frequent_lengths(path: str, pattern: str) -> bytes:
     """The first tier, compressed: a line for each length, the pre-tokens in it ended by the code point 0.
 
@@ -38,7 +31,7 @@ def frequent_lengths(path: str, pattern: str) -> bytes:
     import regex
     from tokenizers import Tokenizer
 
-    tok, alphabet, find = Tokenizer.from_file(path), _byte_alphabet(), regex.compile(pattern).fullmatch
+    tok, alphabet, find = Tokenizer.from_file(path), {c: b for b, c in tokens.byte_alphabet().items()}, regex.compile(pattern).fullmatch
     texts = []
     for entry in tok.get_vocab(with_added_tokens=False):
         try:

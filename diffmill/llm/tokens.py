@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import unicodedata
 from collections.abc import Callable, Iterable
 
@@ -20,27 +21,46 @@ UNSAFE = re.compile(r"[^\x00-\x1b\x20-՗ -ⁿ₠-⃀℀-ↈ←-➿　ぁ-ゖ
 PAIR = re.compile(r"\s\s")
 ODD_SPACE = re.compile(r"[^\S\n ]")
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Entries of each worker cache. A full one starts anew: that costs time and no correctness.
+#: Entries of each worker cache. A full one forgets what it met least recently: that costs time and no correctness.
 CACHE = 300_000
 #: Longer chunks are not kept.
 LONGEST = 64
 
 
 class Memo(dict):
-    """A bounded cache; f gives the value of a key that it doesn't hold."""
+    """A bounded cache of two generations: when the young one is full it becomes the old one, and what is met again moves
+    back, so frequent keys stay. f gives the value of a key that neither holds."""
 
     def __init__(self, f: Callable, most: int = CACHE):
-        self.f, self.most = f, most
+        self.f, self.most, self.old = f, max(most // 2, 1), {}
 
     def __missing__(self, key: str):
-        value = self.f(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.f(key)
         if len(key) <= LONGEST:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The printable stand-in of each byte in byte-level vocabularies: printable Latin-1 stays, others move past 255."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    moved = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(moved)}
+
+
+_BYTES = byte_alphabet()
+
+
+def as_symbols(piece: str) -> str:
+    """A pre-token as its model sees it: the stand-ins of its bytes."""
+    return piece.encode().decode("latin-1").translate(_BYTES)
+
+
 def specials(path: str) -> re.Pattern | None:
     """A pattern of the added tokens' strings, which the library finds before it splits anything else."""
     added = json.load(open(path, encoding="utf-8")).get("added_tokens", [])
@@ -62,10 +82,11 @@ class ByteCounter:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.model = self.tok.model
         self.special = specials(path)
         self.find = regex.compile(pattern).findall
         self.frequent = dict(frequent)
-        self.pre = Memo(self.encode)
+        self.pre = Memo(lambda piece: len(self.model.tokenize(as_symbols(piece))))
         self.lead = Memo(self.chunk)
         self.inner = Memo(lambda part: self.chunk(" " + part))
 
@@ -105,19 +126,35 @@ class ByteCounter:
 
 
 class WordEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit numbers, for a BPE that drops white space and lower-cases."""
+    """Ids of whole texts as little-endian unsigned 32-bit numbers, for a BPE that drops white space and lower-cases.
+
+    White space ends a chunk, a chunk is cut into words by the tokenizer's own pattern, and a word that the caches don't
+    hold is given to the tokenizer's model.
+    """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.model = self.tok.model
         self.special = specials(path)
-        self.memo = Memo(self.encode)
-
-    def encode(self, piece: str) -> bytes:
-        return b"".join(x.to_bytes(4, "little") for x in self.tok.encode(piece, add_special_tokens=False).ids)
+        split = json.load(open(path, encoding="utf-8"))["pre_tokenizer"]["pretokenizers"][0]
+        if (split["type"], split["behavior"], split["invert"]) != ("Split", "Removed", True):
+            raise ValueError("a pattern of the words to keep is needed")
+        self.find = regex.compile(split["pattern"]["Regex"]).findall
+        self.words = Memo(self.word)
+        self.memo = Memo(lambda chunk: b"".join(map(self.words.__getitem__, self.find(chunk))))
+
+    def encode(self, text: str) -> bytes:
+        ids = self.tok.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def word(self, word: str) -> bytes:
+        ids = [x.id for x in self.model.tokenize(as_symbols(word))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, text: str | None) -> bytes:
         if not text:

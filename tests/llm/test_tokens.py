@@ -72,11 +72,12 @@ def test_word_ids_are_those_of_the_library():
     assert words.ids(None) == b""
 
 
-def test_caches_are_bounded():
+def test_caches_are_bounded_and_keep_what_is_frequent():
     seen = []
-    memo = tokens.Memo(lambda x: seen.append(x) or len(x), most=3)
-    assert [memo[x] for x in ("a", "b", "a", "c", "d", "a")] == [1] * 6
-    assert len(memo) <= 3 and seen == ["a", "b", "c", "d", "a"]
+    memo = tokens.Memo(lambda x: seen.append(x) or len(x), most=6)
+    for x in [*"abcabdabeabfabg"]:
+        assert memo[x] == 1
+    assert len(memo) <= 3 and len(memo.old) <= 3 and seen == [*"abcdefg"]
     assert memo["y" * 99] == 99 and "y" * 99 not in memo
 
 
