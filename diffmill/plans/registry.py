@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package that each have QUERIES and ORACLE.
-MODULES = ("feedback",)
+MODULES = ("feedback", "routing", "findings")
 
 
 def _merged(attribute: str) -> dict:
