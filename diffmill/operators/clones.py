@@ -7,6 +7,7 @@ import ast
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOKENS = r"[\p{L}_][\p{L}\p{N}_]*|\p{N}+|[^\s\p{L}\p{N}_]"
 SHINGLE, LEAST = 5, 0.8
@@ -28,7 +29,7 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def renamed_hash(text: pd.Series) -> pd.Series:
     """Hash of a text's tokens with identifiers renamed by first appearance, for languages without a parser here. One pass over
     each text; higher-order functions would look each token up among all names."""
@@ -45,7 +46,7 @@ def renamed_hash(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def python_alpha_hash(text: pd.Series) -> pd.Series:
     """Hash of Python source with names by first appearance; null where it does not parse."""
     import hashlib

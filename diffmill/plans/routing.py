@@ -8,7 +8,10 @@ from diffmill.functions import paths as p
 from diffmill.plans import derived as d
 from diffmill.plans.derived import sql
 
-KIND = p.file_type(F.col("path"))
+
+
+def _kind():
+    return p.file_type(F.col("path"))
 
 
 def _files(spark, sf):
@@ -16,7 +19,7 @@ def _files(spark, sf):
 
 
 def _scored(spark, sf):
-    rows = _files(spark, sf).withColumn("kind", KIND).withColumn("parts", p.risk_parts(F.col("path"), F.col("content"), F.col("kind")))
+    rows = _files(spark, sf).withColumn("kind", _kind()).withColumn("parts", p.risk_parts(F.col("path"), F.col("content"), F.col("kind")))
     total = sum((F.col(f"parts.{n}") for n in ("path", "size", "database", "api", "security", "dangerous_ops", "crypto")), F.lit(0))
     return rows.select("doc_id", "path", "kind", "parts", total.alias("risk"))
 
@@ -26,7 +29,10 @@ def _routed(spark, sf):
     return rows.withColumn("tools", F.array_sort(p.tools(F.col("kind"), F.col("level"), F.col("path"), p.is_test(F.col("path")))))
 
 
-NAMES = F.array(F.concat(F.lit("f"), F.col("doc_id")), F.when(F.col("doc_id") % 7 == 0, "Verify_It").otherwise("other"))
+def _names():
+    return F.array(F.concat(F.lit("f"), F.col("doc_id")), F.when(F.col("doc_id") % 7 == 0, "Verify_It").otherwise("other"))
+
+
 PATHS = (
     "Dockerfile", "a/b.Dockerfile", "x/.gitignore", "main.tf", "README.md", "config/.env", ".env", "prod.env", ".env.example", "a.tar.gz", "Makefile", "bin/Makefile", "x.", "img/a.PNG", "src\\win\\a.PY", "src/latest_config.py",
     "tests/a.go", "app/contest/main.go", "protester.java", "src/test/java/A.java", "a/conftest.py", "x.spec.ts", "UserTests.cs", "a_spec.rb", "HttpTest.php", "e2e/run.js", "fixtures/x.json", "a/testdata/b", "app/api/users.ts", "src/controllers/x.js", "k.kts", "z.rs", "s.ps1", "noext",
@@ -81,19 +87,19 @@ TOOLS = f"CASE WHEN kind IN ('documentation', 'assets') THEN '' WHEN kind = 'cod
 SCANNED = "src/a.js,b/c.py,d.kt,e.java,f.txt,g.ts"
 
 QUERIES = {
-    "F1_file_type": lambda s, sf: _files(s, sf).select("doc_id", KIND.alias("file_type")),
-    "F1_F2_hard_paths": lambda s, sf: _paths(s).select("id", KIND.alias("file_type"), p.is_test(F.col("path")).alias("is_test")),
+    "F1_file_type": lambda s, sf: _files(s, sf).select("doc_id", _kind().alias("file_type")),
+    "F1_F2_hard_paths": lambda s, sf: _paths(s).select("id", _kind().alias("file_type"), p.is_test(F.col("path")).alias("is_test")),
     "F2_is_test": lambda s, sf: _files(s, sf).select("doc_id", p.is_test(F.col("path")).alias("is_test")),
     "T1_risk_parts": lambda s, sf: _scored(s, sf).select("doc_id", F.col("parts.path").alias("path_points"), F.col("parts.size").alias("size_points"), "parts.database", "parts.api", "parts.security", "parts.dangerous_ops", "parts.crypto", "risk"),
     "F3_risk_level": lambda s, sf: _scored(s, sf).select("doc_id", p.risk_level(F.col("risk")).alias("level")),
     "F4_U3_tools": lambda s, sf: _routed(s, sf).select("doc_id", F.array_join("tools", ",").alias("tools")),
     "F6_path_gate": lambda s, sf: d.files(s, sf).select("doc_id", "path").join(_routed(s, sf).where(F.array_contains("tools", "semgrep")).select("path"), "path", "left_semi").select("doc_id"),
-    "F7_reviewed_files": lambda s, sf: _files(s, sf).where(~KIND.isin("documentation", "assets")).select("doc_id"),
+    "F7_reviewed_files": lambda s, sf: _files(s, sf).where(~_kind().isin("documentation", "assets")).select("doc_id"),
     "F20_server_side": lambda s, sf: _files(s, sf).where(p.is_server_side(F.col("path"), F.col("content"))).select("doc_id").union(_paths(s).where(p.is_server_side(F.col("path"), F.lit(""))).selectExpr("-1L - id")),
     "F21_reliable_language": lambda s, sf: _paths(s).unionByName(_files(s, sf).selectExpr("CAST(doc_id + 1000 AS INT) AS id", "path")).select("id", p.is_reliable(F.col("path")).alias("reliable")),
     "F22_language": lambda s, sf: _files(s, sf).withColumn("content", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("#!/usr/bin/env "), F.element_at(F.array(F.lit("python3"), F.lit("node"), F.lit("zsh"), F.lit("perl")), (F.col("doc_id") % 4 + 1).cast("int")), F.lit("\n"), F.col("content"))).otherwise(F.col("content"))).select("doc_id", p.language(F.col("path"), F.col("content")).alias("language")),
     "F23_scanner_languages": lambda s, sf: s.sql(f"SELECT posexplode(split('{SCANNED}', ',')) AS (pos, path)").select("pos", p.scanner_language(F.col("path")).alias("language")).where("language IS NOT NULL").groupBy("language").agg(F.min("pos").alias("pos")).select("language", F.expr("CAST(row_number() OVER (ORDER BY pos) AS INT)").alias("place")),
-    "F25_sensitive_names": lambda s, sf: _files(s, sf).select("doc_id", p.has_sensitive_name(NAMES).alias("sensitive")),
+    "F25_sensitive_names": lambda s, sf: _files(s, sf).select("doc_id", p.has_sensitive_name(_names()).alias("sensitive")),
 }
 ORACLE = {
     "F1_file_type": sql("fl", f"SELECT doc_id, {kind_sql('path')} AS file_type FROM fl"),
