@@ -102,7 +102,8 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     gone = docs.select(F.col(id_col).alias("__gone_id"), sha.alias("sha")).join(groups, "sha").where(~F.col("__gone_id").eqNullSafe(F.col("keep_id")))
     gone = written(gone.select("__gone_id", F.col("sha").alias("__gone_sha")).distinct(), "dedup-gone")
     rows = docs.withColumn("__sha", sha)
-    return rows.join(gone, rows[id_col].eqNullSafe(F.col("__gone_id")) & (F.col("__sha") == F.col("__gone_sha")), "left_anti").drop("__sha")
+    # merge: both sides grow with the input, so the plan is the same at every size
+    return rows.join(gone.hint("merge"), rows[id_col].eqNullSafe(F.col("__gone_id")) & (F.col("__sha") == F.col("__gone_sha")), "left_anti").drop("__sha")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -123,7 +123,8 @@ def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gone = quality(docs, id_col, text_col, host_col, **limits).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("__text").alias("__t"), F.col("__host").alias("__h")).distinct()
     gone = written(gone, "quality-gone")
     rows = docs.withColumns({"__text": F.xxhash64(text), "__host": F.xxhash64(host.isNull(), F.coalesce(host, F.lit("")))})
-    return rows.join(gone, rows[id_col].eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__t")) & (F.col("__host") == F.col("__h")), "left_anti").drop("__text", "__host")
+    # merge: both sides grow with the input, so the plan is the same at every size
+    return rows.join(gone.hint("merge"), rows[id_col].eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__t")) & (F.col("__host") == F.col("__h")), "left_anti").drop("__text", "__host")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -282,7 +282,7 @@ def checked(edges: DataFrame, distinct: DataFrame, docs: DataFrame, least: float
     """The links whose texts, those of the least id of either fingerprint, have a Jaccard similarity of least or more over
     their k-word shingles. Only texts of linked fingerprints are read; a link to a fingerprint without an id goes."""
     nodes = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct, "fp").select(F.col("fp").alias("node"), "least")
-    texts = docs.select(F.col(id_col).cast("long").alias("least"), F.col(text_col).cast("string").alias("text")).join(written(nodes, "simhash-nodes"), "least")
+    texts = docs.select(F.col(id_col).cast("long").alias("least"), F.col(text_col).cast("string").alias("text")).join(written(nodes, "simhash-nodes").hint("merge"), "least")
     sets = written(texts.select("node", "text").mapInArrow(partial(_shingled, k=k), "node long, hashes binary").groupBy("node").agg(F.min("hashes").alias("hashes")), "simhash-sets")
     both = edges.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("p")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("q")), "b")
     return both.select("a", "b", "p", "q").mapInArrow(partial(_similar, least=least), "a long, b long")
@@ -314,7 +314,8 @@ def drop_near_copies(docs: DataFrame, words: int = WORDS, radius: int = RADIUS,
     """The rows of docs whose id is the smallest of its component, with all columns; rows of a null id stay."""
     found = simhash_dedup(docs, words, radius, id_col, text_col, least)
     gone = written(found.where("doc_id > component_id").select(F.col("doc_id").alias("__gone")).distinct(), "simhash-gone")
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    # merge: both sides grow with the input, so the plan is the same at every size
+    return docs.join(gone.hint("merge"), docs[id_col] == F.col("__gone"), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
