@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from diffmill.llm.common import new_folder, table, written
 
-#: Compressed bytes after which a file is rolled; payload bytes of a shard; the least payload that is revisited.
-ROLL, SHARD, REVISIT = 64 << 20, 256 << 20, 1000
+#: Compressed bytes after which a file is rolled; payload bytes of a shard, which are more where there would be more than
+#: SHARDS shards; the least payload that is revisited.
+ROLL, SHARD, SHARDS, REVISIT = 64 << 20, 32 << 20, 16_384, 1000
 #: Ranges that an interval of ids is cut into, to find split points.
 RANGES = 1024
 DATE = "1970-01-01T00:00:00Z"
@@ -34,7 +35,8 @@ MANIFEST = "file string, shard long, part long, records long, bytes long, sha256
 def split_points(rows: DataFrame, size: int) -> list[int]:
     """Ids at which shards of about size payload bytes start, from sums over ranges of ids: (id, bytes) rows, null ids aside.
 
-    A range that alone holds more than a shard is cut again, until it is one id. The driver sees RANGES sums at a time.
+    A range that alone holds more than a shard is cut again, until it is one id. The driver sees RANGES sums at a time; the
+    first ones also say whether shards have to be larger, for there to be no more than about SHARDS of them.
     """
     ends = rows.agg(F.min("id"), F.max("id")).first()
     if ends[0] is None:
@@ -47,6 +49,8 @@ def split_points(rows: DataFrame, size: int) -> list[int]:
         width = max(1, -(-(high - low + 1) // RANGES))
         at = F.expr(f"(CAST(id AS DECIMAL(38,0)) - {low}BD) DIV {width}BD")  # long ids may be further apart than a long holds
         sums = sorted((r.at, r.n) for r in rows.where(F.col("id").between(low, high)).groupBy(at.alias("at")).agg(F.sum("bytes").alias("n")).collect())
+        if not points and not held:
+            size = max(size, sum(n for _, n in sums) // SHARDS)
         for i, (k, n) in enumerate(sums):
             if n > size and width > 1:  # the finer ranges first, then what comes after them
                 if i + 1 < len(sums):
