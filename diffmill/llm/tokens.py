@@ -23,6 +23,8 @@ ODD_SPACE = re.compile(r"[^\S\n ]")
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Entries of each worker cache. A full one forgets what it met least recently: that costs time and no correctness.
 CACHE = 300_000
+#: Marks that are a pre-token of their own after a word.
+MARKS = frozenset(".,;:!?")
 #: Longer chunks are not kept.
 LONGEST = 64
 
@@ -57,7 +59,9 @@ _BYTES = byte_alphabet()
 
 
 def as_symbols(piece: str) -> str:
-    """A pre-token as its model sees it: the stand-ins of its bytes."""
+    """A pre-token as its model sees it: the stand-ins of its bytes, which printable ASCII itself is."""
+    if piece.isascii() and piece.isprintable() and " " not in piece:
+        return piece
     return piece.encode().decode("latin-1").translate(_BYTES)
 
 
@@ -128,7 +132,7 @@ class ByteCounter:
 class WordEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit numbers, for a BPE that drops white space and lower-cases.
 
-    White space ends a chunk, a chunk is cut into words by the tokenizer's own pattern, and a word that the caches don't
+    White space ends a chunk, a chunk is cut into words by the tokenizer's own pattern, and a word that the cache doesn't
     hold is given to the tokenizer's model.
     """
 
@@ -145,16 +149,25 @@ class WordEncoder:
         if (split["type"], split["behavior"], split["invert"]) != ("Split", "Removed", True):
             raise ValueError("a pattern of the words to keep is needed")
         self.find = regex.compile(split["pattern"]["Regex"]).findall
-        self.words = Memo(self.word)
-        self.memo = Memo(lambda chunk: b"".join(map(self.words.__getitem__, self.find(chunk))))
+        self.memo = Memo(self.chunk, 3 * CACHE)
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
+
+    def chunk(self, chunk: str) -> bytes:
+        """Most chunks are a word, or one and a mark after it; only others are cut by the pattern."""
+        if chunk.isalpha():
+            return self.word(chunk)
+        if chunk[-1] in MARKS and chunk[:-1].isalpha():
+            return self.memo[chunk[:-1]] + self.memo[chunk[-1]]
+        pieces = self.find(chunk)
+        return self.word(chunk) if pieces == [chunk] else b"".join(map(self.memo.__getitem__, pieces))
 
     def encode(self, text: str) -> bytes:
         ids = self.tok.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def word(self, word: str) -> bytes:
-        ids = [x.id for x in self.model.tokenize(as_symbols(word))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.packed
+        return b"".join([packed[x.id] for x in self.model.tokenize(as_symbols(word))])
 
     def ids(self, text: str | None) -> bytes:
         if not text:
