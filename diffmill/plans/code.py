@@ -9,6 +9,7 @@ from diffmill.operators import clones as c
 from diffmill.operators import diffs as g
 from diffmill.operators import evaluation as v
 from diffmill.operators import similarity as m
+from diffmill.operators.feedback import upsert
 from diffmill.plans import derived as d
 from diffmill.plans.derived import sql
 
@@ -100,7 +101,7 @@ QUERIES = {
     "W9_greedy_pairs": lambda s, sf: c.greedy(_pairs(s, sf).withColumn("pr", F.lit(1)), "pr").select("seq_a", "seq_b"),
     "K1_J6_J17_nearest": lambda s, sf: _near(s, sf).select("query_id", "vec_id", "path", "rank", F.round("score", 6).alias("score")),
     "K3_A15_best_matches": lambda s, sf: m.best_matches(_near(s, sf), "repo_id").select("repo_id", "content_hash", "rank", F.round("score", 6).alias("score")),
-    "S14_upsert_chunks": lambda s, sf: __import__("diffmill.operators.feedback", fromlist=["upsert"]).upsert(d.chunks(s, sf).selectExpr("repo_id", "content_hash", "path", "vec_id AS seq"), d.chunks(s, sf).where("vec_id % 3 = 0").selectExpr("repo_id", "content_hash", "concat('new/', path) AS path", "vec_id AS seq"), ["repo_id", "content_hash"], "seq"),
+    "S14_upsert_chunks": lambda s, sf: upsert(d.chunks(s, sf).selectExpr("repo_id", "content_hash", "path", "vec_id AS seq"), d.chunks(s, sf).where("vec_id % 3 = 0").selectExpr("repo_id", "content_hash", "concat('new/', path) AS path", "vec_id AS seq"), ["repo_id", "content_hash"], "seq"),
     "V1_J16_matches": lambda s, sf: v.matches(*_cases(s, sf)[:2]),
     "V2_V3_scores": lambda s, sf: _r(_scored(s, sf), "precision", "recall", "noise_rate"),
     "V4_consistency": lambda s, sf: _r(v.consistency(_scored(s, sf)), "mean_hits", "mean_noise", "flip_rate"),

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from diffmill.functions import replies as r
+from diffmill.functions.paths import is_reliable
 from diffmill.operators import context as x
 from diffmill.operators import tools as t
 from diffmill.plans import derived as d
@@ -123,7 +124,7 @@ QUERIES |= {
     "X28_json_tool": lambda s, sf: t.json_tool(s.createDataFrame([("a.json", "", "Expecting value: line 3 column 1", 1), ("b.json", "", "odd", 1), ("c.json", "{}", "", 0)], "path string, stdout string, stderr string, rc int")).select("path", "line", "severity"),
     "X31_audit_severity": lambda s, sf: d.table(s, sf, "events").select("event_id", t.audit_severity(F.expr("element_at(array('critical', 'High', 'moderate', 'low', NULL), CAST(event_id % 5 AS INT) + 1)")).alias("severity")),
     "S18_sarif": lambda s, sf: t.sarif(_docs(s, SARIF)),
-    "S19_scanner": lambda s, sf: t.scanner_findings(_docs(s, SCAN), __import__("diffmill.functions.paths", fromlist=["is_reliable"]).is_reliable),
+    "S19_scanner": lambda s, sf: t.scanner_findings(_docs(s, SCAN), is_reliable),
     "J9_T26_rekeyed": lambda s, sf: t.rekeyed(t.scanner_findings(_docs(s, SCAN), lambda p: F.lit(True)), s.createDataFrame([("src/a.py", 2), ("a.py", 3), ("src/b.go", 1)], "path string, seq int")).select("path", "line"),
     "T28_package_line": lambda s, sf: s.createDataFrame([("{\n \"a\": 1,\n \"b\": 2}", "b"), ("{}", "z")], "p string, n string").select("n", t.package_line(F.col("p"), F.col("n")).alias("line")),
     "J7_overlapping_spans": lambda s, sf: x.overlapping(_spans(s, sf), _ranges(s, sf)),

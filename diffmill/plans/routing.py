@@ -9,7 +9,6 @@ from diffmill.plans import derived as d
 from diffmill.plans.derived import sql
 
 
-
 def _kind():
     return p.file_type(F.col("path"))
 
