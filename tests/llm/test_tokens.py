@@ -1,9 +1,7 @@
 from __future__ import annotations
 
-import re
 import struct
 import unicodedata
-import zlib
 
 import public_tokenizers
 import pytest
@@ -79,7 +77,3 @@ def test_caches_are_bounded_and_keep_what_is_frequent():
         assert memo[x] == 1
     assert len(memo) <= 3 and len(memo.old) <= 3 and seen == [*"abcdefg"]
     assert memo["y" * 99] == 99 and "y" * 99 not in memo
-
-
-def test_pattern_and_crc_helpers():
-    assert re.compile(tokens.PAIR).search("a  b") and zlib.crc32(b"") == 0
