@@ -252,30 +252,22 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def shingle_hashes(text: str | None, k: int) -> bytes:
-    """The set of hashes of a text's k-word shingles, sorted, 8 bytes each; fewer words are one shingle, none is empty."""
+def shingle_hashes(text: str | None, k: int) -> np.ndarray:
+    """The set of hashes of a text's k-word shingles, sorted; fewer words are one shingle, none is empty."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
     if not words:
-        return b""
+        return np.empty(0, np.int64)
     last = max(len(words) - k + 1, 1)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), SEED) for i in range(last)), np.uint64, last)).tobytes()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), SEED) for i in range(last)), np.uint64, last)).view(np.int64)
 
 
 def _shingled(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(x.as_py(), k) for x in batch.column(1)], pa.binary())], ["node", "hashes"])
-
-
-def _similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            p, q = np.frombuffer(x.as_buffer() or b"", np.uint64), np.frombuffer(y.as_buffer() or b"", np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            keep.append(both >= least * (len(p) + len(q) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        sets = [shingle_hashes(x.as_py(), k) for x in batch.column(1)]
+        ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))], ["node", "hashes"])
 
 
 def checked(edges: DataFrame, distinct: DataFrame, docs: DataFrame, least: float, k: int, id_col: str, text_col: str) -> DataFrame:
@@ -283,9 +275,10 @@ def checked(edges: DataFrame, distinct: DataFrame, docs: DataFrame, least: float
     their k-word shingles. Only texts of linked fingerprints are read; a link to a fingerprint without an id goes."""
     nodes = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct, "fp").select(F.col("fp").alias("node"), "least")
     texts = docs.select(F.col(id_col).cast("long").alias("least"), F.col(text_col).cast("string").alias("text")).join(written(nodes, "simhash-nodes").hint("merge"), "least")
-    sets = written(texts.select("node", "text").mapInArrow(partial(_shingled, k=k), "node long, hashes binary").groupBy("node").agg(F.min("hashes").alias("hashes")), "simhash-sets")
+    sets = written(texts.select("node", "text").mapInArrow(partial(_shingled, k=k), "node long, hashes array<long>").groupBy("node").agg(F.min("hashes").alias("hashes")), "simhash-sets")
     both = edges.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("p")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("q")), "b")
-    return both.select("a", "b", "p", "q").mapInArrow(partial(_similar, least=least), "a long, b long")
+    common = F.size(F.array_intersect("p", "q"))  # of two sets: their sizes are those of the arrays
+    return both.select("a", "b", common.alias("n"), (F.size("p") + F.size("q")).alias("sum")).where(F.col("n") >= F.lit(least) * (F.col("sum") - F.col("n"))).select("a", "b")
 
 
 def simhash_dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", least: float | None = None, least_words: int = 5) -> DataFrame:

@@ -149,7 +149,7 @@ class WordEncoder:
         if (split["type"], split["behavior"], split["invert"]) != ("Split", "Removed", True):
             raise ValueError("a pattern of the words to keep is needed")
         self.find = regex.compile(split["pattern"]["Regex"]).findall
-        self.memo = Memo(self.chunk, 3 * CACHE)
+        self.memo = Memo(self.chunk, 2 * CACHE)
         self.packed = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
 
     def chunk(self, chunk: str) -> bytes:
