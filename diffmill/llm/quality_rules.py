@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from diffmill.llm.common import SPACES, table, written
 
-#: A line is boilerplate of a host if at least MIN_DOCS different texts of it hold the line, and over MAX_SHARE of them.
-MIN_DOCS, MAX_SHARE = 20, 0.3
+#: A line is boilerplate of a host if at least MIN_DOCS different texts of it hold the line, and over MAX_SHARE of them; or if
+#: MOST_DOCS hold it, whatever the size of the host: a share alone lets through more copies of a line the larger a host is.
+MIN_DOCS, MAX_SHARE, MOST_DOCS = 20, 0.3, 20
 #: A document is depleted if fewer words are left, or a smaller share of its words.
 MIN_WORDS, MIN_LEFT = 10, 0.2
 SYMBOLS = "#*$%&|<>"
@@ -83,14 +84,14 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "__text", "__host", F.xxhash64("line").alias("__line"), _line_words(F.col("line")).alias("words"))
 
 
-def frequent_lines(lines: DataFrame, min_docs: int, max_share: float) -> DataFrame:
+def frequent_lines(lines: DataFrame, min_docs: int, max_share: float, most_docs: int = MOST_DOCS) -> DataFrame:
     """(__host, __line) of boilerplate. Different texts are counted: distinct (host, line, text) first, then texts a line."""
     held = lines.select("__host", "__line", "__text").distinct().groupBy("__host", "__line").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {min_docs}")
     texts = lines.select("__host", "__text").distinct().groupBy("__host").agg(F.count(F.lit(1)).alias("texts"))
-    return held.join(texts, "__host").where(f"n > {max_share} * texts").select("__host", "__line")
+    return held.join(texts, "__host").where(f"n > {max_share} * texts OR n >= {most_docs}").select("__host", "__line")
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT, most_docs: int = MOST_DOCS) -> DataFrame:
     """A row for each row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     n_removed_words (words in lines that the host's other documents also hold too often).
 
@@ -102,7 +103,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     text, host = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(host_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("__text"), F.xxhash64(host.isNull(), F.coalesce(host, F.lit(""))).alias("__host"), text.alias("text"))
     lines = _lines(rows)
-    frequent = written(frequent_lines(lines, min_docs, max_share), "quality-lines")
+    frequent = written(frequent_lines(lines, min_docs, max_share, most_docs), "quality-lines")
     # sums by (id, text): rows that repeat both are counted here and dealt out again
     removed = lines.join(frequent, ["__host", "__line"]).groupBy("doc_id", "__text", "__host").agg(F.sum("words").alias("gone"))
     keys = ["doc_id", "__text", "__host"]

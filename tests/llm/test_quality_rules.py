@@ -74,3 +74,10 @@ def test_no_rows_and_kept_columns(spark):
     got = q.drop_rejected(docs, min_docs=3)
     assert got.columns == docs.columns
     assert Counter(r.doc_id for r in got.collect()) == Counter(r[0] for r in brute(rows) if r[7])
+
+
+def test_lines_are_boilerplate_however_large_the_host(spark):
+    own = lambda i: "\n".join(" ".join(f"w{i}x{j}x{k}" for k in range(10)) for j in range(2))
+    rows = [(i, ("Read more  here\n" if i < 20 else "held by fewer\n" if i < 39 else "") + own(i), "h") for i in range(400)]
+    got = {r.doc_id: r.n_removed_words for r in q.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {i: 3 if i < 20 else 0 for i in range(400)}
