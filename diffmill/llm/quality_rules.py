@@ -72,12 +72,23 @@ def _line_words(line: Column) -> Column:
     return (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, __text, __host, text) as lines that have a word: normalised, hashed, with their words."""
-    flat = F.lower("text")
+def _normal(line: Column) -> Column:
+    """A line or a text as its lines are compared: in lower case, runs of white space one space; lines are trimmed after."""
+    flat = F.lower(line)
     for c in "\t\v\f\r":
         flat = F.replace(flat, F.lit(c), F.lit(" "))
-    rows = docs.select("doc_id", "__text", "__host", flat.alias("flat"))
+    return flat
+
+
+def without_lines(text: Column, bad: Column) -> Column:
+    """The text without the lines whose normalised hash is in bad; other lines stay as they are."""
+    hashed = lambda line: F.xxhash64(F.trim(F.regexp_replace(_normal(line), " +", " ")))
+    return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~F.array_contains(bad, hashed(line))), "\n")
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, __text, __host, text) as lines that have a word: normalised, hashed, with their words."""
+    rows = docs.select("doc_id", "__text", "__host", _normal(F.col("text")).alias("flat"))
     flat = F.when(F.contains("flat", F.lit("  ")), F.regexp_replace("flat", " +", " ")).otherwise(F.col("flat"))
     rows = rows.select("doc_id", "__text", "__host", F.explode(F.split(flat, "\n")).alias("line"))
     rows = rows.select("doc_id", "__text", "__host", F.trim("line").alias("line")).where("line <> ''")
@@ -91,41 +102,53 @@ def frequent_lines(lines: DataFrame, min_docs: int, max_share: float, most_docs:
     return held.join(texts, "__host").where(f"n > {max_share} * texts OR n >= {most_docs}").select("__host", "__line")
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT, most_docs: int = MOST_DOCS) -> DataFrame:
-    """A row for each row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
-    n_removed_words (words in lines that the host's other documents also hold too often).
-
-    base_failed: fewer than 10 words, or over 20 % of the words in windows that repeat. A document that passes is kept unless
-    removal leaves fewer than min_words words or less than min_left of them. Null and empty texts have no words and fail.
-    Null hosts are one host, empty names another. Repeated rows are returned as often as they come, and count once as texts.
-    No rows give none. Other columns are not read.
-    """
+def _judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT, most_docs: int = MOST_DOCS) -> DataFrame:
+    """The columns of quality, and __bad: the hashes of the lines to remove, null where there are none."""
     text, host = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(host_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("__text"), F.xxhash64(host.isNull(), F.coalesce(host, F.lit(""))).alias("__host"), text.alias("text"))
     lines = _lines(rows)
     frequent = written(frequent_lines(lines, min_docs, max_share, most_docs), "quality-lines")
     # sums by (id, text): rows that repeat both are counted here and dealt out again
-    removed = lines.join(frequent, ["__host", "__line"]).groupBy("doc_id", "__text", "__host").agg(F.sum("words").alias("gone"))
+    removed = lines.join(frequent, ["__host", "__line"]).groupBy("doc_id", "__text", "__host").agg(F.sum("words").alias("gone"), F.collect_set("__line").alias("__bad"))
     keys = ["doc_id", "__text", "__host"]
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     base = rows.select("doc_id", "__text", "__host", "text").mapInArrow(_figures, SCHEMA).groupBy(*keys).agg(*(F.first(n).alias(n) for n in names), F.count(F.lit(1)).alias("copies"))
-    removed = removed.select(*(F.col(k).alias(f"r{k}") for k in keys), "gone")
+    removed = removed.select(*(F.col(k).alias(f"r{k}") for k in keys), "gone", "__bad")
     same = base["doc_id"].eqNullSafe(F.col("rdoc_id")) & (F.col("__text") == F.col("r__text")) & (F.col("__host") == F.col("r__host"))
     out = base.join(removed, same, "left").withColumn("n_removed_words", F.coalesce(F.expr("gone DIV copies"), F.lit(0).cast("long")))
     out = out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).withColumn("left", F.col("n_words") - F.col("n_removed_words"))
     kept = ~F.col("base_failed") & (F.col("left") >= min_words) & (F.col("left") >= F.lit(min_left) * F.col("n_words"))
-    out = out.select("doc_id", *names, "base_failed", kept.alias("kept"), "n_removed_words", "__text", "__host", F.explode(F.expr("sequence(1L, copies)")).alias("copy"))
+    out = out.select("doc_id", *names, "base_failed", kept.alias("kept"), "n_removed_words", "__text", "__host", "__bad", F.explode(F.expr("sequence(1L, copies)")).alias("copy"))
     return out.drop("copy")
 
 
-def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
-    """The rows of docs that quality keeps, with all columns and their text as it is."""
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT, most_docs: int = MOST_DOCS) -> DataFrame:
+    """A row for each row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
+    n_removed_words (words in lines that the host's other documents also hold too often).
+
+    base_failed: fewer than 10 words, or over 20 % of the words in windows that repeat. A document that passes is kept unless
+    removal leaves fewer than min_words words or less than min_left of them. Null and empty texts have no words and fail.
+    Null hosts are one host, empty names another. Repeated rows are returned as often as they come, and count once as texts.
+    No rows give none. Other columns are not read.
+    """
+    return _judged(docs, id_col, text_col, host_col, min_docs, max_share, min_words, min_left, most_docs).drop("__bad")
+
+
+def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars", **limits) -> DataFrame:
+    """The rows of docs that quality keeps, with all columns, and their text without the frequent lines of their host. Texts
+    without such lines stay as they are; where lines go, chars_col, if there is one, becomes the length of what is left."""
     text, host = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(host_col).cast("string")
-    gone = quality(docs, id_col, text_col, host_col, **limits).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("__text").alias("__t"), F.col("__host").alias("__h")).distinct()
-    gone = written(gone, "quality-gone")
+    # one row for each (id, text, host) that is dropped or loses lines
+    fate = _judged(docs, id_col, text_col, host_col, **limits).where("NOT kept OR __bad IS NOT NULL").groupBy(F.col("doc_id").alias("__id"), F.col("__text").alias("__t"), F.col("__host").alias("__h"))
+    fate = written(fate.agg(F.first("kept").alias("__kept"), F.first("__bad").alias("__bad")), "quality-fate")
     rows = docs.withColumns({"__text": F.xxhash64(text), "__host": F.xxhash64(host.isNull(), F.coalesce(host, F.lit("")))})
     # merge: both sides grow with the input, so the plan is the same at every size
-    return rows.join(gone.hint("merge"), rows[id_col].eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__t")) & (F.col("__host") == F.col("__h")), "left_anti").drop("__text", "__host")
+    rows = rows.join(fate.hint("merge"), rows[id_col].eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__t")) & (F.col("__host") == F.col("__h")), "left").where(F.coalesce("__kept", F.lit(True)))
+    left = F.when(F.col("__bad").isNull(), F.col(text_col)).otherwise(without_lines(text, F.col("__bad")))
+    rows = rows.withColumn(text_col, left)
+    if chars_col in docs.columns:
+        rows = rows.withColumn(chars_col, F.when(F.col("__bad").isNull(), F.col(chars_col)).otherwise(F.length(text_col)).cast(docs.schema[chars_col].dataType))
+    return rows.select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

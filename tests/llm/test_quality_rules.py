@@ -81,3 +81,13 @@ def test_lines_are_boilerplate_however_large_the_host(spark):
     rows = [(i, ("Read more  here\n" if i < 20 else "held by fewer\n" if i < 39 else "") + own(i), "h") for i in range(400)]
     got = {r.doc_id: r.n_removed_words for r in q.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got == {i: 3 if i < 20 else 0 for i in range(400)}
+
+
+def test_frequent_lines_leave_the_kept_texts(spark):
+    own = lambda i: "\n".join(" ".join(f"w{i}x{j}x{k}" for k in range(10)) for j in range(2))
+    rows = [(i, f"Read  MORE\there\n{own(i)}\n\n read more here \r\nÉnd {i}", "h", 1) for i in range(30)]
+    rows += [(50, f"read more here\n{own(50)}", "other", 1), (3, rows[3][1], "h", 1), (None, rows[4][1], "h", 1), (51, own(51), None, 1)]
+    got = q.drop_rejected(spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long"))
+    cut = lambda i: f"{own(i)}\n\nÉnd {i}"
+    want = [(i, cut(i), "h", len(cut(i))) for i in [*range(30), 3]] + [(None, cut(4), "h", len(cut(4))), rows[30], rows[33]]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
