@@ -27,9 +27,10 @@ KINDS = ("assign", "access", "hex", "weak_access", "weak_secret", "weak_endpoint
 ASSIGN_WORDS = (b"passw", b"secret", b"token", b"api_key", b"apikey")
 
 #: Weak parts. An access identifier, a secret and an endpoint complement one another.
+#: A secret is a run of 32 characters or more with a digit and letters of both cases, also right after "="; each run is read once.
 WEAK = {
     "weak_access": re.compile(r"(?<![A-Za-z0-9_])(?:(?:access|account|client|user|login)[_-]?(?:key[_-]?id|id|name)|user(?:name)?|login)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@._-]{3,64})", re.ASCII | re.IGNORECASE),
-    "weak_secret": re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{0,39}[0-9])(?=[A-Za-z0-9+/_-]{0,39}[A-Z])(?=[A-Za-z0-9+/_-]{0,39}[a-z])[A-Za-z0-9+/_-]{40}(?![A-Za-z0-9+/_-])", re.ASCII),
+    "weak_secret": re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{32})(?=[A-Z+/_a-z-]*[0-9])(?=[0-9+/_a-z-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]+={0,2}", re.ASCII),
     "weak_endpoint": re.compile(r"\b(?:https?|ftp|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp)://[A-Za-z0-9.-]+(?::[0-9]{1,5})?", re.ASCII),
 }
 #: Code points between two parts at most for them to complement each other.

@@ -63,3 +63,16 @@ def test_links_against_all_pairs():
 
 def test_no_rows(spark):
     assert s.secret_scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_secrets_right_after_an_equals_sign_and_of_other_lengths():
+    for form in ("AWS_SECRET_ACCESS_KEY={}", "secret_key={}", "https://h.example.com/?x=1&sig={}&y", 'KEY="{}"', "KEY: {}"):
+        for size in (32, 40, 43, 64, 88, 3000):
+            value = ("aB3x/" * size)[:size]
+            text = f"AWS_ACCESS_KEY_ID={KEY}\n{form.format(value)}\nend"
+            assert [text[a:b] for k, a, b in found(text) if k == "weak_secret"] == [value], (form, size)
+    for value in ("aB3x/" * 6, "ab3x/" * 8, "AB3X/" * 8, "aBcx/" * 8):  # too short, or without one kind of character
+        assert not [k for k, _, _ in found(f"{KEY}\nKEY={value}") if k == "weak_secret"]
+    padded = "aB3x" * 21 + "ab=="
+    assert [b - a for k, a, b in found(f"{KEY}\nKEY={padded}") if k == "weak_secret"] == [88]
+    assert [k for k, _, _ in found(f"AWS_ACCESS_KEY_ID={KEY}\nAWS_SECRET_ACCESS_KEY={FORTY}\nhttps://s.example.com/x")] == ["weak_secret", "weak_endpoint"]
