@@ -7,6 +7,12 @@ compares the fingerprints of a key with bit planes: plane b holds bit b of all o
 of differences are added into carry-save counters, and a block is abandoned as soon as all its distances exceed the radius.
 Of the links in a key only a spanning forest leaves the worker, so output grows with the rows and not with pairs; it has
 the same components as all links. Components are found by alternating star contraction over written tables.
+
+Where links are also checked by the similarity of texts, a forest of unchecked links is not enough: it is one only of links
+that nothing removes later. There, nodes are different texts, and band keys of minimum hashes bring together all pairs that
+are similar enough, but for one in millions (see BANDS). Each text is first checked against the most central one of its keys; keys whose texts are
+then in several components still are read by a worker with the sets of their shingles, which compares all their pairs and
+joins only what passes.
 """
 
 from __future__ import annotations
@@ -26,6 +32,9 @@ WORDS, RADIUS, BITS, SEED = 4, 4, 64, 42
 HOT = 8192
 #: Fingerprints compared at once against a block; bounds the memory of a comparison.
 QUERIES, BLOCK = 256, 16_384
+#: Band keys of a text: BANDS keys of BAND_HASHES minimum hashes. A pair of Jaccard similarity s shares none with a
+#: probability of (1 - s ** BAND_HASHES) ** BANDS: 1.3e-7 at 0.8.
+BANDS, BAND_HASHES = 40, 5
 _TABLE = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\v\f\r", bytes(range(97, 123)) + b"     ")
 
 
@@ -254,33 +263,169 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
     """The set of hashes of a text's k-word shingles, sorted; fewer words are one shingle, none is empty."""
+    return _set(_words(text), k).view(np.int64)
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
+
+
+def _set(words: list[bytes], k: int) -> np.ndarray:
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
     if not words:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.uint64)
     last = max(len(words) - k + 1, 1)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), SEED) for i in range(last)), np.uint64, last)).view(np.int64)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), SEED) for i in range(last)), np.uint64, last))
+
+
+def node_of(words: list[bytes]) -> int:
+    """A number for each different sequence of words, as a signed long; 0 for none."""
+    import xxhash
+
+    return int(np.array(xxhash.xxh64_intdigest(b" ".join(words), SEED + 1), np.uint64).view(np.int64)) if words else 0
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """The keys of a set of hashes: two sets of Jaccard similarity s have the same key of a band with probability s ** BAND_HASHES."""
+    import xxhash
+
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    masks, factors = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * BAND_HASHES, 1), np.uint64)
+    factors |= np.uint64(1)
+    least = np.full(BANDS * BAND_HASHES, 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        mixed = (hashes[None, at : at + 1024] ^ masks) * factors
+        np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=1), out=least)
+    rows = least.astype("<u8").reshape(BANDS, BAND_HASHES)
+    return np.fromiter((xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(rows)), np.uint64, BANDS).view(np.int64)
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *rows])))
+
+
+def _texts(batches: Iterator[pa.RecordBatch], words: int, k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [x.as_py() for x in batch.column(2)]
+        split = [_words(t) for t in texts]
+        fps = np.fromiter((fingerprint(t, words) for t in texts), np.uint64, len(texts)).view(np.int64)
+        nodes = pa.array([node_of(w) for w in split], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps), nodes, _lists([band_keys(_set(w, k)) for w in split])], ["id", "raw", "fp", "node", "keys"])
 
 
 def _shingled(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingle_hashes(x.as_py(), k) for x in batch.column(1)]
-        ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))], ["node", "hashes"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_hashes(x.as_py(), k) for x in batch.column(1)])], ["node", "hashes"])
+
+
+def similar_links(sets: list[np.ndarray], roots: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Positions of links that join the components in roots: a spanning forest of all pairs of sets that are similar enough.
+    A pair is left out only where links that hold have joined it already."""
+    forest, first = Forest(len(sets)), {}
+    for i, r in enumerate(roots.tolist()):
+        forest.join(first.setdefault(r, i), i)
+    forest.links.clear()
+    left = len(first)
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owners = np.repeat(np.arange(len(sets)), sizes)[np.argsort(at, kind="stable")]
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(at))])
+    ends = np.cumsum(sizes)
+    for i in range(len(sets)):
+        if left == 1:
+            break
+        own = at[ends[i] - sizes[i] : ends[i]]
+        common = np.bincount(np.concatenate([owners[cuts[x] : cuts[x + 1]] for x in own]), minlength=len(sets))[:i] if len(own) else np.zeros(i, np.int64)
+        for j in np.flatnonzero((common > 0) & (common >= least * (sizes[:i] + sizes[i] - common))).tolist():
+            before = len(forest.links)
+            forest.join(j, i)
+            left -= len(forest.links) - before
+    return forest.links
+
+
+def _similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, root, hashes) in the order of their keys to links (a, b). A key is held whole, with its sets."""
+    now, nodes, roots, sets = None, [], [], []
+
+    def flush():
+        found = np.array(similar_links(sets, np.array(roots), least), np.int64).reshape(-1, 2) if len(sets) > 1 else np.empty((0, 2), np.int64)
+        own = np.array(nodes, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(own[found[:, 0]]), pa.array(own[found[:, 1]])], ["a", "b"])
+
+    for batch in batches:
+        keys = batch.column(0).to_pylist()
+        for i, key in enumerate(keys):
+            if key != now:
+                if nodes:
+                    yield flush()
+                now, nodes, roots, sets = key, [], [], []
+            nodes.append(batch.column(1)[i].as_py())
+            roots.append(batch.column(2)[i].as_py())
+            sets.append(batch.column(3)[i].values.to_numpy())
+    if nodes:
+        yield flush()
 
 
-def checked(edges: DataFrame, distinct: DataFrame, docs: DataFrame, least: float, k: int, id_col: str, text_col: str) -> DataFrame:
-    """The links whose texts, those of the least id of either fingerprint, have a Jaccard similarity of least or more over
-    their k-word shingles. Only texts of linked fingerprints are read; a link to a fingerprint without an id goes."""
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct, "fp").select(F.col("fp").alias("node"), "least")
-    texts = docs.select(F.col(id_col).cast("long").alias("least"), F.col(text_col).cast("string").alias("text")).join(written(nodes, "simhash-nodes").hint("merge"), "least")
-    sets = written(texts.select("node", "text").mapInArrow(partial(_shingled, k=k), "node long, hashes array<long>").groupBy("node").agg(F.min("hashes").alias("hashes")), "simhash-sets")
+def shingle_sets(nodes: DataFrame, docs: DataFrame, k: int, text_col: str) -> DataFrame:
+    """(node, hashes) of nodes (node, raw), where raw is the hash of one text of the node. Only their texts are read."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(F.xxhash64(text).alias("raw"), text.alias("text")).join(nodes.hint("merge"), "raw")
+    return texts.select("node", "text").mapInArrow(partial(_shingled, k=k), "node long, hashes array<long>").groupBy("node").agg(F.min("hashes").alias("hashes"))
+
+
+def checked(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The links (a, b) whose sets have a Jaccard similarity of least or more."""
     both = edges.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("p")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("q")), "b")
     common = F.size(F.array_intersect("p", "q"))  # of two sets: their sizes are those of the arrays
     return both.select("a", "b", common.alias("n"), (F.size("p") + F.size("q")).alias("sum")).where(F.col("n") >= F.lit(least) * (F.col("sum") - F.col("n"))).select("a", "b")
 
 
+def similar(nodes: DataFrame, docs: DataFrame, radius: int, least: float, k: int, text_col: str) -> DataFrame:
+    """Links (a, b) of nodes (node, id, raw, fp, keys) that connect all pairs with a Jaccard similarity of least or more."""
+    spark = docs.sparkSession
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    # keys of the same texts are one key: their sum of hashes says so
+    groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same")).where("n > 1")
+    groups = written(groups.groupBy("same", "n").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("times")).select("key", "n", "times"), "simhash-keys")
+    members = written(keyed.join(groups.hint("merge"), "key"), "simhash-members")
+    # the most central text of a key is the one that meets most others over all its keys
+    central = members.groupBy("node").agg(F.sum(F.col("n") * F.col("times")).alias("met"))
+    reps = members.join(central.hint("merge"), "node").groupBy("key").agg(F.max(F.struct("met", "node"))["node"].alias("rep"))
+    pairs = members.join(reps.hint("merge"), "key").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    # fingerprints within the radius, by one text of each; further texts of a fingerprint are candidates with that one
+    by_fp = written(nodes.where("node <> 0").groupBy("fp").agg(F.min("node").alias("one"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
+    ones = by_fp.select("fp", "one")
+    near = written(links(ones, radius), "simhash-links")
+    near = near.join(ones.toDF("a", "x"), "a").join(ones.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    more = nodes.where("node <> 0").join(by_fp.where("n > 1"), "fp").select(F.col("node").alias("a"), F.col("one").alias("b"))
+    pairs = written(pairs.union(near).union(more).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
+    linked = written(nodes.select("node", "raw").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(members.select("node")).distinct(), "node"), "simhash-nodes")
+    sets = written(shingle_sets(linked, docs, k, text_col), "simhash-sets")
+    edges = written(checked(pairs, sets, least), "simhash-checked")
+    # keys of three texts or more that are not one component yet: a key of two was one pair
+    root = written(components(edges), "simhash-roots")
+    members = members.where("n > 2").join(root.hint("merge"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    open_keys = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    rest = written(members.join(open_keys.hint("merge"), "key"), "simhash-rest").join(sets.hint("merge"), "node").select("key", "node", "root", "hashes")
+    rest = rest.repartition(partitions(spark), "key").sortWithinPartitions("key", "node")
+    return edges.union(written(rest.mapInArrow(partial(_similar, least=least), "a long, b long").distinct(), "simhash-similar"))
+
+
+def near_components(docs: DataFrame, words: int, radius: int, id_col: str, text_col: str, least: float, k: int) -> DataFrame:
+    """id, fp and component_id of each row of docs, by links of texts that are checked."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("raw"), text.alias("text"))
+    rows = written(rows.mapInArrow(partial(_texts, words=words, k=k), "id long, raw long, fp long, node long, keys array<long>"), "simhash")
+    nodes = written(rows.groupBy("node").agg(F.min("id").alias("id"), F.min("raw").alias("raw"), F.min("fp").alias("fp"), F.min("keys").alias("keys")), "simhash-texts")
+    root = written(components(similar(nodes, docs, radius, least, k, text_col)), "simhash-roots")
+    named = nodes.select("node", "id").join(root, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+    ids = named.groupBy("root").agg(F.min("id").alias("component_id"))
+    return rows.select("id", "fp", "node").join(named.join(ids, "root").select("node", "component_id"), "node").select("id", "fp", "component_id")
+
+
 def simhash_dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", least: float | None = None, least_words: int = 5) -> DataFrame:
     """A row for each row of docs: doc_id, fingerprint (16 lowercase hex digits), component_id (smallest id reachable over
     links between fingerprints that differ in radius bits at most, itself included).
@@ -288,13 +433,15 @@ def simhash_dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, id_
     Letters A-Z count as a-z, words end at the space and the code points 9 to 13, and a text of fewer words is one shingle.
     Null and empty texts have the fingerprint zero, which links like any other. Rows that repeat are returned as often as
     they come. Null ids are returned; a component whose ids are all null has a null component_id. No rows give none.
-    least: also check each link of the spanning forests by the similarity of its texts over least_words-word shingles.
+    least: components are those of texts with a Jaccard similarity of least or more over least_words-word shingles instead;
+    texts without words are one. Fingerprints within the radius and the band keys give the candidates.
     """
+    if least is not None:
+        found = near_components(docs, words, radius, id_col, text_col, least, least_words)
+        return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     rows = written(fingerprints(docs, words, id_col, text_col), "simhash")
     distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
     edges = links(distinct, radius)
-    if least is not None:
-        edges = checked(written(edges, "simhash-links"), distinct, docs, least, least_words, id_col, text_col)
     root = written(components(edges), "simhash-roots")
     named = distinct.join(root, distinct["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))

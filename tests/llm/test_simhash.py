@@ -130,3 +130,35 @@ def test_links_are_checked_by_similarity(spark):
     got = {r.doc_id: r.component_id for r in s.simhash_dedup(docs, radius=30, least=0.8).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, None: 1, 5: 5}
     assert s.simhash_dedup(docs.where("false"), radius=30, least=0.8).collect() == []
+
+
+def similar_components(rows, least=0.8, k=5):
+    """Least id of each row's component over all pairs of texts that are similar enough."""
+    sets = [set(s.shingle_hashes(t, k).tolist()) for _, t in rows]
+    forest = s.Forest(len(rows))
+    for i in range(len(rows)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if n and n >= least * (len(sets[i]) + len(sets[j]) - n):
+                forest.join(j, i)
+    return {d: rows[forest.root(i)][0] for i, (d, _) in enumerate(rows)}
+
+
+def edited(base, n, rng):
+    words = list(base)
+    for i in rng.sample(range(len(words)), n):
+        words[i] = f"edit{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_groups_of_many_near_copies_against_brute_force(spark):
+    rng = random.Random(11)
+    bases = [[f"w{rng.randrange(10_000)}" for _ in range(n)] for n in (300, 300, 120)]
+    rows = [(500, " ".join(bases[0]))] + [(i, edited(bases[0], 5, rng)) for i in range(300)]
+    rows += [(600 + i, edited(bases[1], 4 + i % 7, rng)) for i in range(150)] + [(800 + i, edited(bases[2], 1 + i % 3, rng)) for i in range(60)]
+    rows.sort()
+    want = similar_components(rows)
+    assert {want[i] for i in range(300)} == {0} and len(set(want.values())) > 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in s.simhash_dedup(docs, radius=9, least=0.8).collect()}
+    assert got == want
