@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from diffmill.llm import exact_dedup, mixing, packing, quality_rules, simhash
 from diffmill.llm.common import table, written
 
-#: Fingerprints over four words within nine bits are candidates; texts of a similarity of 0.8 over five words are copies.
+#: Texts of a similarity of 0.8 over five words are copies. Fingerprints over four words within nine bits are candidates, and so
+#: are texts that share a band key of minimum hashes: these bring together the copies that lie more bits apart.
 NEAR_WORDS, NEAR_RADIUS, NEAR_LEAST = 4, 9, 0.8
 TOKENIZER = "word_bpe_49k.json"
 

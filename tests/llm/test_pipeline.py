@@ -57,3 +57,17 @@ def test_run_and_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_near_copies_far_apart_in_bits(spark):
+    rng = random.Random(13)
+    rows = []
+    for i in range(80):
+        words = [f"w{rng.randrange(10_000)}" for _ in range(60)]
+        rows.append((2 * i, " ".join(words), "en", "s", 1))
+        words[20], words[21] = f"edit{i}", "more"
+        rows.append((2 * i + 1, " ".join(words), "en", "s", 1))
+    far = [(simhash.fingerprint(a[1]) ^ simhash.fingerprint(b[1])).bit_count() for a, b in zip(rows[::2], rows[1::2], strict=True)]
+    assert sum(x > corpus_pipeline.NEAR_RADIUS for x in far) > 5
+    got = corpus_pipeline.drop_near(spark, spark.createDataFrame(rows, COLUMNS), "")
+    assert sorted(r.doc_id for r in got.collect()) == [r[0] for r in rows[::2]]
