@@ -162,3 +162,10 @@ def test_groups_of_many_near_copies_against_brute_force(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in s.simhash_dedup(docs, radius=9, least=0.8).collect()}
     assert got == want
+
+
+def test_texts_of_one_fingerprint_are_checked_too(spark):
+    rows = [(i, "x " * 200 + tail) for i, tail in enumerate(["a b c d e", "p q r s t", "A b\tc d e", "y z"])]
+    assert len({brute_fp(t) for _, t in rows}) == 1
+    got = {r.doc_id: r.component_id for r in s.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string"), least=0.8).collect()}
+    assert got == similar_components(rows) == {0: 0, 1: 1, 2: 0, 3: 3}
