@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from diffmill.tables import written
+
 TOKENS = r"[\p{L}_][\p{L}\p{N}_]*|\p{N}+|[^\s\p{L}\p{N}_]"
 SHINGLE, LEAST = 5, 0.8
 LEAST_LINES, LEAST_TOKENS = 3, 20
@@ -75,45 +77,64 @@ def flagged(chunks: DataFrame, key: str) -> DataFrame:
     return chunks.join(first, key).where("seq <> first_seq")
 
 
+def shingle_sets(chunks: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(seq, path, hashes, n): the set of 64-bit hashes of a text's shingles of k tokens, and its size; shorter texts have none.
+    Shingles are zipped from shifted slices of the tokens in the row itself: no shuffle, no sort."""
+    rows = chunks.select("seq", "path", tokens(F.col("text")).alias("t")).where(F.size("t") >= k)
+    shifted = [F.slice("t", F.lit(i + 1), F.size("t") - (k - 1)).alias(f"t{i}") for i in range(k)]
+    hashes = F.array_distinct(F.transform(F.arrays_zip(*shifted), lambda x: F.xxhash64(*(x[f"t{i}"] for i in range(k)))))
+    return rows.select("seq", "path", hashes.alias("hashes")).withColumn("n", F.size("hashes"))
+
+
 def shingles(chunks: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """Distinct (seq, path, shingle) of k tokens; shorter texts have none."""
-    words = chunks.select("seq", "path", tokens(F.col("text")).alias("t")).select("seq", "path", F.posexplode("t").alias("pos", "t"))
-    w = Window.partitionBy("seq").orderBy("pos")
-    parts = [F.col("t"), *(F.lead("t", i).over(w) for i in range(1, k))]
-    rows = words.select("seq", "path", F.array(*parts).alias("s")).where(F.col("s")[k - 1].isNotNull())
-    return rows.select("seq", "path", F.array_join("s", "\x01").alias("shingle")).distinct()
+    """Distinct (seq, path, shingle) of k tokens, each shingle as its hash."""
+    return shingle_sets(chunks, k).select("seq", "path", F.explode("hashes").alias("shingle"))
 
 
 def similar_pairs(sets: DataFrame, least: float = LEAST) -> DataFrame:
-    """Pairs (seq_a < seq_b) of different paths with a Jaccard similarity of least or more. By prefix filter: ordered from the
-    rarest shingle on, two sets that similar share one of their first n - ceil(least * n) + 1. So common shingles, whose pairs
-    would grow with the square of their documents, are hardly ever joined; candidates are then checked exactly."""
-    df = sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-    shared = sets.join(df.where("df > 1"), "shingle")
-    sizes = sets.groupBy("seq", "path").agg(F.count(F.lit(1)).alias("n"))
-    # shingles of one document alone come first in its order and match nothing
-    rare = sets.join(df.where("df = 1"), "shingle").groupBy("seq").agg(F.count(F.lit(1)).alias("alone"))
+    """Pairs (seq_a < seq_b) of different paths with a Jaccard similarity of least or more, of sets as shingle_sets gives them,
+    or of distinct rows as shingles does.
+
+    By prefix filter: ordered from the rarest shingle on, two sets that similar share one of their first
+    n - ceil(least * n) + 1. So common shingles, whose pairs would grow with the square of their documents, are hardly ever
+    joined; candidates are then checked exactly on the sets. Shingles of one document alone come first in its order and match
+    nothing, so only shared ones are ordered, and the place of those is counted from the end."""
+    if "hashes" not in sets.columns:
+        sets = sets.groupBy("seq", "path").agg(F.collect_list("shingle").alias("hashes"), F.count(F.lit(1)).cast("int").alias("n"))
+    sets = written(sets, "clone-sets")
+    rows = sets.select("seq", "path", "n", F.explode("hashes").alias("shingle"))
+    df = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = rows.join(df.hint("merge"), "shingle")
     w = Window.partitionBy("seq").orderBy("df", "shingle")
-    head = shared.withColumn("place", F.row_number().over(w)).join(sizes.select("seq", "n"), "seq").join(rare, "seq", "left")
-    head = head.where(F.col("place") + F.coalesce("alone", F.lit(0)) <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("shingle", "seq", "path", "n")
+    # from the end: the shared shingles after this one, which are its set's last ones
+    after = F.count(F.lit(1)).over(Window.partitionBy("seq")) - F.row_number().over(w)
+    head = written(shared.withColumn("after", after).where(F.col("after") >= F.ceil(F.lit(least) * F.col("n")) - 1).select("shingle", "seq", "path", "n"), "clone-heads")
     a, b = head.alias("a"), head.alias("b")
     near = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.seq") < F.col("b.seq")) & (F.col("a.path") != F.col("b.path")) & (F.least("a.n", "b.n") >= F.lit(least) * F.greatest("a.n", "b.n"))
-    pairs = a.join(b, near).select(F.col("a.seq").alias("seq_a"), F.col("b.seq").alias("seq_b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b")).distinct()
-    left = pairs.join(shared.select(F.col("seq").alias("seq_a"), "shingle"), "seq_a")
-    both = left.join(shared.select(F.col("seq").alias("seq_b"), "shingle"), ["seq_b", "shingle"]).groupBy("seq_a", "seq_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("both"))
+    pairs = written(a.join(b, near).select(F.col("a.seq").alias("seq_a"), F.col("b.seq").alias("seq_b")).distinct(), "clone-pairs")
+    left = pairs.join(sets.select(F.col("seq").alias("seq_a"), F.col("hashes").alias("p"), F.col("n").alias("n_a")), "seq_a")
+    both = left.join(sets.select(F.col("seq").alias("seq_b"), F.col("hashes").alias("q"), F.col("n").alias("n_b")), "seq_b")
+    both = both.select("seq_a", "seq_b", "n_a", "n_b", F.size(F.array_intersect("p", "q")).alias("both"))
     return both.select("seq_a", "seq_b", (F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
-def greedy(pairs: DataFrame, group: str) -> DataFrame:
-    """Pairs in order of which each chunk is in one at most, by group: what is decided first shuts out what comes later."""
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: set = set()
-        keep = []
-        for i, (a, b) in enumerate(pdf.sort_values(["seq_a", "seq_b"])[["seq_a", "seq_b"]].itertuples(index=False)):
-            keep.append(i) if a not in used and b not in used else None
-            if keep and keep[-1] == i:
-                used |= {a, b}
-        return pdf.sort_values(["seq_a", "seq_b"]).iloc[keep]
-
-    return pairs.groupBy(group).applyInPandas(pick, pairs.schema)
+def greedy(pairs: DataFrame, group: str, rounds: int = 100) -> DataFrame:
+    """Pairs in order of which each chunk is in one at most, by group: what is decided first shuts out what comes later.
+
+    In rounds over all groups at once: a pair that is the first one left at both its ends is taken, and pairs that share an end
+    with it go. That is what a walk in order takes, without a task that holds a group."""
+    columns = pairs.columns
+    left = written(pairs.withColumn("__pair", F.struct("seq_a", "seq_b")), "greedy-left")
+    taken = left.limit(0)
+    for _ in range(rounds):
+        if left.isEmpty():
+            return taken.select(*columns)
+        ends = left.select(group, "__pair", F.explode(F.array("seq_a", "seq_b")).alias("__end"))
+        first = ends.groupBy(group, "__end").agg(F.min("__pair").alias("__first"))
+        picked = written(first.groupBy(group, F.col("__first").alias("__pair")).agg(F.count(F.lit(1)).alias("n")).where("n = 2").drop("n"), "greedy-picked")
+        taken = taken.unionByName(left.join(picked, [group, "__pair"], "left_semi").select(*left.columns))
+        used = picked.select(group, F.explode(F.array("__pair.seq_a", "__pair.seq_b")).alias("__used"))
+        for end in ("seq_a", "seq_b"):
+            left = left.join(used.withColumnRenamed("__used", end), [group, end], "left_anti")
+        left = written(left.select(*taken.columns), "greedy-left")
+    raise RuntimeError(f"pairs did not settle in {rounds} rounds")

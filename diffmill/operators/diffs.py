@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,27 +81,11 @@ def new_content(files: DataFrame) -> DataFrame:
 
 def old_lines(lines: DataFrame, ranges: DataFrame) -> DataFrame:
     """pr_id, path, start_line, end_line, old: deleted lines that an added line of the range follows. Deleted lines wait for the
-    first added line of their hunk; context does not clear them. One file at a time, in order."""
-
-    def walk(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        spans = right.sort_values(["start_line", "end_line"])[["start_line", "end_line"]].drop_duplicates().values.tolist()
-        body = left.sort_values("pos")[["mark", "text", "line", "hunk"]].values.tolist()
-        for start, end in spans:
-            waiting: list[str] = []
-            old: list[str] = []
-            now = None
-            for mark, text, line, hunk in body:
-                if hunk != now:
-                    waiting, now = [], hunk
-                if mark == "-":
-                    waiting.append(text)
-                elif mark == "+":
-                    if start <= line <= end:
-                        old += waiting
-                    waiting = []
-            out.append((*key, start, end, "\n".join(old)))
-        return pd.DataFrame(out, columns=["pr_id", "path", "start_line", "end_line", "old"])
-
-    return lines.groupBy("pr_id", "path").cogroup(ranges.groupBy("pr_id", "path")).applyInPandas(walk, "pr_id long, path string, start_line int, end_line int, old string")
-
+    first added line of their hunk; context does not clear them. Each deleted line finds the next added one of its hunk by a
+    window, and that line's number its range."""
+    later = Window.partitionBy("pr_id", "part", "path", "hunk").orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
+    rows = lines.withColumn("heir", F.first(F.when(F.col("mark") == "+", F.col("line")), True).over(later)).where("mark = '-' AND heir IS NOT NULL")
+    spans = ranges.select("pr_id", "path", "start_line", "end_line").distinct()
+    held = rows.join(spans, ["pr_id", "path"]).where("heir BETWEEN start_line AND end_line")
+    old = held.groupBy("pr_id", "path", "start_line", "end_line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "pos", "text"))), lambda x: x["text"]), "\n").alias("old"))
+    return spans.join(old, ["pr_id", "path", "start_line", "end_line"], "left").select("pr_id", "path", "start_line", "end_line", F.coalesce("old", F.lit("")).alias("old"))

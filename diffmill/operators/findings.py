@@ -126,10 +126,11 @@ def rule_dedupe(findings: DataFrame, *keys: str) -> DataFrame:
 
 
 def first_issue(issues: DataFrame) -> DataFrame:
-    """The first of equal (path, line, rule_id); issues without a line all stay."""
-    w = Window.partitionBy("path", "line", "rule_id").orderBy("seq")
-    placed = issues.where("line IS NOT NULL").withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
-    return placed.unionByName(issues.where("line IS NULL"))
+    """The first of equal (path, line, rule_id) by seq; issues without a line all stay. An aggregation, so a hot key is combined
+    before it is shuffled."""
+    rest = [c for c in issues.columns if c not in ("path", "line", "rule_id")]
+    keyed = issues.where("line IS NOT NULL").groupBy("path", "line", "rule_id").agg(F.min_by(F.struct(*rest), "seq").alias("__first"))
+    return keyed.select("path", "line", "rule_id", "__first.*").select(*issues.columns).unionByName(issues.where("line IS NULL"))
 
 
 def without(extra: DataFrame, known: DataFrame) -> DataFrame:

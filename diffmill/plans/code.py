@@ -12,6 +12,7 @@ from diffmill.operators import similarity as m
 from diffmill.operators.feedback import upsert
 from diffmill.plans import derived as d
 from diffmill.plans.derived import sql
+from diffmill.tables import spread
 
 MARKS = "element_at(array('+', ' ', '-', '+'), CAST((i + doc_id) % 4 AS INT) + 1)"
 
@@ -21,7 +22,7 @@ def _diffs(s, sf):
     body = F.expr(f"array_join(transform(split(coalesce(text, ''), '\n'), (x, i) -> concat({MARKS}, x)), '\n')")
     one = F.concat(F.lit("diff --git a/f b/src/f"), F.col("doc_id"), F.when(F.col("doc_id") % 2 == 0, ".py").otherwise(".js"), F.lit("\nnew file mode 100644\n--- a/f\n+++ b/f\n@@ -1,2 +"), F.col("doc_id") % 50 + 1, F.when(F.col("doc_id") % 3 == 0, "").otherwise(",4"), F.lit(" @@\n"), body)
     two = F.when(F.col("doc_id") % 4 == 0, F.lit("\ndiff --git a/g b/g.go\n@@ -0,0 +7,0 @@ x\n@@ -3 +9,2 @@\n+added\n ctx\n+++odd\n\n+more")).otherwise("")
-    return d.table(s, sf, "documents").select(F.col("doc_id").alias("pr_id"), F.concat(F.lit("lost text\n"), one, two).alias("diff_text"))
+    return spread(d.table(s, sf, "documents")).select(F.col("doc_id").alias("pr_id"), F.concat(F.lit("lost text\n"), one, two).alias("diff_text"))
 
 
 DIFFS = """df0 AS (SELECT doc_id AS pr_id, 'diff --git a/f b/src/f' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.js' END || chr(10) || 'new file mode 100644' || chr(10) || '--- a/f' || chr(10) || '+++ b/f' || chr(10) || '@@ -1,2 +' || (doc_id % 50 + 1) || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ',4' END || ' @@' || chr(10)
@@ -35,7 +36,7 @@ nb AS (SELECT * FROM nm WHERE hunk > 0 AND mark IN ('+', ' ', '-'))"""
 
 
 def _chunks(s, sf):
-    return d.table(s, sf, "documents").selectExpr("source AS path", "doc_id AS seq", "coalesce(text, '') AS text")
+    return spread(d.table(s, sf, "documents")).selectExpr("source AS path", "doc_id AS seq", "coalesce(text, '') AS text")
 
 
 HASHED = rf"h AS (SELECT source AS path, doc_id AS seq, sha256(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS content_hash FROM documents)"
@@ -46,7 +47,7 @@ pr AS (SELECT seq_a, seq_b, round(common / (x.n + y.n - common), 6) AS jaccard F
 
 
 def _pairs(s, sf):
-    return c.similar_pairs(c.shingles(_chunks(s, sf)))
+    return c.similar_pairs(c.shingle_sets(_chunks(s, sf)))
 
 
 def _near(s, sf, k=5):
@@ -123,6 +124,14 @@ ORACLE = {
     "W8_exact_clones": f"WITH {HASHED}, g AS (SELECT content_hash, min(seq) AS first_seq, arg_min(path, seq) AS first_path FROM h GROUP BY 1 HAVING count(DISTINCT path) > 1) SELECT seq, path, first_path, first_seq FROM h JOIN g USING (content_hash) WHERE seq <> first_seq",
     "T8_tokens": f"WITH {SHINGLES} SELECT seq, CAST(len(t) AS INTEGER) AS n FROM tk",
     "T9_shingles": f"WITH {SHINGLES} SELECT seq, count(*) AS n FROM sh GROUP BY 1",
+    "W5_T23_old_lines": f"""WITH {DIFFS}, {LINES}, a AS (SELECT DISTINCT pr_id, path, line FROM nb WHERE mark = '+'), i AS (SELECT *, line - row_number() OVER (PARTITION BY pr_id, path ORDER BY line) AS g FROM a),
+r AS (SELECT pr_id, path, min(line) AS start_line, max(line) AS end_line FROM i GROUP BY pr_id, path, g),
+d AS (SELECT x.*, (SELECT arg_min(y.line, y.pos) FROM nb y WHERE y.pr_id = x.pr_id AND y.part = x.part AND y.hunk = x.hunk AND y.mark = '+' AND y.pos > x.pos) AS heir FROM nb x WHERE mark = '-')
+SELECT r.pr_id, r.path, start_line, end_line, coalesce(string_agg(d.text, chr(10) ORDER BY part, pos), '') AS old FROM r LEFT JOIN d ON d.pr_id = r.pr_id AND d.path = r.path AND heir BETWEEN start_line AND end_line GROUP BY 1, 2, 3, 4""",
+    "T11_renamed_clones": f"""WITH {SHINGLES}, w AS (SELECT seq, path, pos, tok, min(CASE WHEN regexp_matches(tok, '^[\\p{{L}}_]') THEN pos END) OVER (PARTITION BY seq, tok) AS first FROM (SELECT seq, path, unnest(t) AS tok, generate_subscripts(t, 1) AS pos FROM tk)),
+v AS (SELECT *, count(CASE WHEN first = pos THEN 1 END) OVER (PARTITION BY seq ORDER BY pos) AS n FROM w), nm AS (SELECT x.seq, x.path, x.pos, CASE WHEN x.first IS NULL THEN x.tok ELSE 'v' || (y.n - 1) END AS tok FROM v x LEFT JOIN v y ON y.seq = x.seq AND y.pos = x.first),
+h AS (SELECT tk.seq, tk.path, md5(coalesce(string_agg(tok, ' ' ORDER BY pos), '')) AS renamed FROM tk LEFT JOIN nm USING (seq) GROUP BY 1, 2), g AS (SELECT renamed, min(seq) AS first_seq FROM h GROUP BY 1 HAVING count(DISTINCT path) > 1)
+SELECT seq, path, first_seq FROM h JOIN g USING (renamed) WHERE seq <> first_seq""",
     "J12_T10_U4_similar_pairs": f"WITH {SHINGLES}, {PAIRS} SELECT * FROM pr",
     "K1_J6_J17_nearest": sql("ck", f"{NEAR} SELECT query_id, vec_id, path, rank, round(score, 6) AS score FROM tp"),
     "K3_A15_best_matches": sql("ck", f"{NEAR}, b AS (SELECT repo_id, content_hash, max(score) AS score FROM tp GROUP BY 1, 2), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY score DESC, content_hash) AS INTEGER) AS rank FROM b) SELECT repo_id, content_hash, rank, round(score, 6) AS score FROM k WHERE rank <= 5"),

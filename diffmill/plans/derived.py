@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffmill.tables import table
+from diffmill.tables import spread, table
 
 REACTIONS = {"purchase": "+1", "error": "-1", "view": "eyes", "click": "heart"}
 
@@ -63,7 +63,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path and content of each document, as a file of a repository."""
     ext = F.array(*(F.lit(f".{x}" if x else "") for x in EXTENSIONS))
     folder = F.array(*(F.lit(x) for x in FOLDERS))
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.concat(F.element_at(folder, (F.col("doc_id") % len(FOLDERS) + 1).cast("int")), F.lit("/"), F.col("source"), F.lit("/f"), F.col("doc_id"), F.element_at(ext, (F.col("doc_id") % len(EXTENSIONS) + 1).cast("int"))).alias("path"), F.coalesce("text", F.lit("")).alias("content"))
 
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -14,6 +12,7 @@ from diffmill.plans.derived import sql
 from diffmill.plans.findings import SEV, _counts
 from diffmill.sources import repository as src
 from diffmill.streaming import feedback as st
+from diffmill.tables import new_folder
 
 HOOKS = [
     ("pull_request", json.dumps({"action": "opened", "pull_request": {"number": 3}, "repository": {"full_name": "a/b"}}), True), ("pull_request", json.dumps({"action": "synchronize", "before": "abc", "repository": {"full_name": "a/b"}}), True),
@@ -23,15 +22,9 @@ HOOKS = [
 ROUTES = [("review", "a/b", 3, None, None), ("review", "a/b", None, "abc", None), ("sync", None, None, None, None), ("comment", None, None, None, "helpful"), ("ignored", None, None, None, None), ("ignored", None, None, None, None), ("400", None, None, None, None), ("401", None, None, None, None)]
 
 
-def _folder(spark) -> str:
-    """A new folder in the one that driver and executors share; a local one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/diffmill-stream-{uuid.uuid4().hex}"
-
-
 def _stream(spark, sf: str):
     """The events table as a stream of its files, with timestamps that a watermark takes."""
-    folder = _folder(spark)
+    folder = new_folder(spark, "stream")
     d.feedback_events(spark, sf).withColumn("created_at", F.col("created_at").cast("timestamp")).write.parquet(f"{folder}/in")
     schema = spark.read.parquet(f"{folder}/in").schema
     return folder, spark.readStream.schema(schema).parquet(f"{folder}/in")

@@ -1,10 +1,57 @@
-"""Readers of the driver's tables."""
+"""Readers of the driver's tables, and written tables between steps."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes below which a scan is spread over the cores by one shuffle, for work that is dear a row. A small file is one row group,
+#: and so one task; larger inputs have many of them and are left as they are.
+SMALL = 64 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table as Spark reads it; sf_dir may be any path that Spark can open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores if the planner knows them to be few bytes; else as they are."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL else df
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder that the session has set.
+
+    Where there is none, a local session makes and sets a temporary one; on a cluster that is an error, as no machine's own
+    folder is there for the others.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = kept.get() if kept.isDefined() else None
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='diffmill-')}"
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other run uses."""
+    return f"{shared_dir(spark)}/diffmill/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a written table of the shared folder: lineage ends here, and a lost executor loses nothing.
+
+    What is read again also has a known size, so that the planner broadcasts only what it has measured.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
