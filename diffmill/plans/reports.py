@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from diffmill.functions import replies as r
@@ -13,45 +11,6 @@ from diffmill.operators import tools as t
 from diffmill.plans import derived as d
 from diffmill.plans.derived import sql
 
-_j = json.dumps
-#: A minimal report of each tool: (path, stdout, stderr, rc) and the issues it says (line, message, severity, rule).
-REPORTS = {
-    "pylint": (_j([{"line": 3, "message": "m", "type": "convention", "symbol": "s"}, {"line": 4, "message": "n", "type": "error", "symbol": "e"}]), "", [(3, "m", "info", "s"), (4, "n", "error", "e")]),
-    "ruff": (_j([{"location": {"row": 2}, "message": "unused", "code": "F401"}]), "", [(2, "unused", "warning", "F401")]),
-    "bandit": (_j({"results": [{"line_number": 9, "issue_text": "eval", "issue_severity": "HIGH", "test_id": "B307"}, {"line_number": 1, "issue_text": "x", "issue_severity": "LOW", "test_id": "B1"}]}), "", [(9, "eval", "error", "B307"), (1, "x", "info", "B1")]),
-    "eslint": (_j([{"messages": [{"line": 1, "message": "a", "severity": 2, "ruleId": "no-var"}, {"line": 2, "message": "b", "severity": 1, "ruleId": None}]}]), "", [(1, "a", "error", "no-var"), (2, "b", "warning", None)]),
-    "oxlint": (_j({"diagnostics": [{"line": 5, "message": "q", "severity": "Err", "code": "c"}]}), "", [(5, "q", "error", "c")]),
-    "tsc": ("", "a.ts(4,2): error TS2322: Type 'x'.\nnoise\n", [(4, "Type 'x'.", "error", "TS2322")]),
-    "go_vet": ("", "# pkg\nvet: a.go:7:3: unreachable code\nb.go:2: odd", [(7, "unreachable code", "warning", None), (2, "odd", "warning", None)]),
-    "javac": ("", "A.java:3: error: ';' expected\n", [(3, "';' expected", "error", None)]),
-    "rubocop": (_j({"files": [{"offenses": [{"location": {"line": 8}, "message": "long", "severity": "convention", "cop_name": "L"}]}]}), "", [(8, "long", "info", "L")]),
-    "rustc": ("", _j({"message": "unused", "level": "warning", "spans": [{"line_start": 2}, {"line_start": 6}]}) + "\nnot json", [(2, "unused", "warning", None), (6, "unused", "warning", None)]),
-    "mcs": ("", "a.cs(1,2): error CS0103: name\n", [(1, "name", "error", "CS0103")]),
-    "phpstan": (_j({"files": {"a.php": {"messages": [{"line": 11, "message": "undef"}]}}}), "", [(11, "undef", "error", None)]),
-    "swiftlint": (_j([{"line": 1, "reason": "r", "rule_id": "i"}]), "", [(1, "r", "warning", "i")]),
-    "ktlint": (_j([{"errors": [{"line": 2, "message": "k", "rule": "z"}]}]), "", [(2, "k", "warning", "z")]),
-    "shellcheck": (_j([{"line": 2, "message": "quote", "level": "style", "code": 2086}]), "", [(2, "quote", "info", "SC2086")]),
-    "stylelint": (_j([{"warnings": [{"line": 1, "text": "t", "severity": "error", "rule": "r"}]}]), "", [(1, "t", "error", "r")]),
-    "yamllint": ("a.yml:3:1: [error] too many spaces (indentation)\na.yml:4:1: [warning] odd\n", "", [(3, "too many spaces", "error", "indentation"), (4, "odd", "warning", None)]),
-    "hadolint": (_j([{"line": 1, "message": "tag", "code": "DL3006"}]), "", [(1, "tag", "warning", "DL3006")]),
-    "tflint": (_j({"issues": [{"message": "m", "rule": {"name": "n", "severity": "ERROR"}, "range": {"start": {"line": 4}}}]}), "", [(4, "m", "error", "n")]),
-    "luacheck": ("a.lua:1:2-3: (W211) unused\na.lua:2:1: (E011) bad\n", "", [(1, "unused", "warning", "211"), (2, "bad", "error", "011")]),
-    "elixirc": ("", "** (SyntaxError) a.ex:5: bad\n", [(5, "bad", "error", None)]),
-    "lintr": ("a.R:2:1: style: tidy\n", "", [(2, "tidy", "info", "style")]),
-    "perlcritic": ("Bad code at line 6, column 2. See page 1\n", "", [(6, "Bad code", "warning", None)]),
-    "markdownlint": (_j([{"lineNumber": 1, "ruleDescription": "d", "ruleNames": ["MD1", "x"]}]), "", [(1, "d", "warning", "MD1,x")]),
-    "yarn_audit": (_j({"type": "auditAdvisory", "data": {"advisory": {"module_name": "m", "title": "t", "severity": "critical"}}}) + "\n" + _j({"type": "auditSummary"}), "", [(1, "t", "error", "m")]),
-    "npm_audit": (_j({"vulnerabilities": {"a": {"severity": "moderate", "via": ["b"]}, "z": {"severity": "low", "via": []}}}), "", [(1, "Vulnerable dependency a", "warning", "a")]),
-}
-#: The numbers that reports have in the inventory of operators.
-IDS = {"pylint": "X2", "ruff": "X3", "bandit": "X4", "eslint": "X6", "oxlint": "X7", "tsc": "X8", "go_vet": "X9", "javac": "X10", "rubocop": "X11", "rustc": "X12", "mcs": "X14", "phpstan": "X15", "swiftlint": "X16", "ktlint": "X17", "shellcheck": "X18", "stylelint": "X19", "yamllint": "X20", "hadolint": "X21", "tflint": "X22", "luacheck": "X23", "elixirc": "X24", "lintr": "X25", "perlcritic": "X26", "markdownlint": "X27", "npm_audit": "X29", "yarn_audit": "X30"}
-
-
-def _raw(s, tool):
-    out, err, _ = REPORTS[tool]
-    return s.createDataFrame([("f", out, err, 1), ("broken", "not a report", "neither", 2)], "path string, stdout string, stderr string, rc int")
-
-
 def _lit(v) -> str:
     return "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
 
@@ -60,19 +19,6 @@ def _values(rows, names) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_lit, row)) + ')' for row in rows)}) t({names})"
 
 
-XML_BUG = '<BugCollection><BugInstance type="NP"><LongMessage>Null</LongMessage><SourceLine start="12"/></BugInstance></BugCollection>'
-XML_CPP = '<results><errors><error id="leak" severity="error" msg="Leak"><location line="7"/></error><error id="none" severity="style" msg="No line"><location line="0"/></error></errors></results>'
-SARIF = _j({"runs": [{"artifacts": [{"location": {"uri": "src/z.py"}}], "results": [
-    {"ruleId": "r1", "level": "error", "message": {"text": "a"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": "file:///tmp/x/a.py"}, "region": {"startLine": 3}}}]},
-    {"ruleId": "r2", "level": "note", "message": {"text": "b"}, "locations": [{"physicalLocation": {"artifactLocation": {"index": 0}, "region": {"startLine": 4}}}, {"physicalLocation": {"artifactLocation": {"index": 5}}}]},
-    {"ruleId": "r3", "message": {"text": "c"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": "b.py"}}}]}]}]})
-SCAN = _j({"results": [{"path": "/tmp/w/src/a.py", "check_id": "c", "start": {"line": 2}, "extra": {"message": "m", "severity": "warning"}}], "errors": [{"path": "src/b.go", "message": "syntax", "spans": [{"start": {"line": 9}}]}, {"path": "wf.yml", "message": "syntax"}]})
-
-
-def _docs(s, doc):
-    return s.createDataFrame([(doc,), ("broken",)], "doc string")
-
-
 def _spans(s, sf):
     return d.table(s, sf, "lineitem").selectExpr("concat('f', l_orderkey) AS path", "l_linenumber AS start_line", "l_linenumber + CAST(l_quantity AS INT) % 4 AS end_line", "l_partkey AS seq")
 
@@ -109,24 +55,10 @@ def _items(s):
     return _replies(s).select("id", F.explode(r.review_items("reply")).alias("i")).select("id", "i.line", "i.severity", "i.title", "i.body", "i.confidence")
 
 
-def _key(*parts):
-    return F.sha2(F.concat_ws("\x00", *parts), 256)
-
-
 BLOCKS = [(1, "d" * 100, "v" * 100, "c" * 100, "k" * 100, "s" * 100, "t" * 100), (2, "d" * 100, "v" * 500, "c" * 500, "k" * 500, "s" * 100, "t" * 100), (3, "d" * 900, "v", "c", "k", "s", "t"), (4, "d", None, "", "k", None, "t")]
 
-QUERIES = {f"{IDS[n]}_{n}": (lambda s, sf, n=n: t.issues(_raw(s, n), n).select("line", "message", "severity", "rule_id")) for n in REPORTS}
-QUERIES |= {
-    "X1_linter_of_file": lambda s, sf: d.files(s, sf).select("doc_id", t.linter_of(F.col("path")).alias("linter")),
-    "X5_python_issues": lambda s, sf: t.python_issues(_raw(s, "ruff"), _raw(s, "bandit")).select("line", "source"),
-    "X10_spotbugs": lambda s, sf: t.xml_issues(s.createDataFrame([("A.java", XML_BUG, "", 0)], "path string, stdout string, stderr string, rc int"), "spotbugs").select("line", "message", "severity", "rule_id"),
-    "X13_cppcheck": lambda s, sf: t.xml_issues(s.createDataFrame([("a.c", "", XML_CPP, 0)], "path string, stdout string, stderr string, rc int"), "cppcheck").select("line", "message", "severity", "rule_id"),
-    "X28_json_tool": lambda s, sf: t.json_tool(s.createDataFrame([("a.json", "", "Expecting value: line 3 column 1", 1), ("b.json", "", "odd", 1), ("c.json", "{}", "", 0)], "path string, stdout string, stderr string, rc int")).select("path", "line", "severity"),
+QUERIES = {
     "X31_audit_severity": lambda s, sf: d.table(s, sf, "events").select("event_id", t.audit_severity(F.expr("element_at(array('critical', 'High', 'moderate', 'low', NULL), CAST(event_id % 5 AS INT) + 1)")).alias("severity")),
-    "S18_sarif": lambda s, sf: t.sarif(_docs(s, SARIF)),
-    "S19_scanner": lambda s, sf: t.scanner_findings(_docs(s, SCAN), is_reliable),
-    "J9_T26_rekeyed": lambda s, sf: t.rekeyed(t.scanner_findings(_docs(s, SCAN), lambda p: F.lit(True)), s.createDataFrame([("src/a.py", 2), ("a.py", 3), ("src/b.go", 1)], "path string, seq int")).select("path", "line"),
-    "T28_package_line": lambda s, sf: s.createDataFrame([("{\n \"a\": 1,\n \"b\": 2}", "b"), ("{}", "z")], "p string, n string").select("n", t.package_line(F.col("p"), F.col("n")).alias("line")),
     "J7_overlapping_spans": lambda s, sf: x.overlapping(_spans(s, sf), _ranges(s, sf)),
     "J8_contained_spans": lambda s, sf: x.contained(_spans(s, sf), _ranges(s, sf)),
     "J10_J19_T21_callers": lambda s, sf: x.callers(_imports(s, sf), _changed(s, sf)).select("pr_id", "importer", "target", F.array_join("names", ",").alias("names")),
@@ -142,27 +74,13 @@ QUERIES |= {
     "T16_T36_review_items": lambda s, sf: _items(s),
     "T18_without_marks": lambda s, sf: s.createDataFrame([("@@ -1 +1 @@\n+ a = 1\n b\n",)], "c string").select(r.without_marks(F.col("c")).alias("code")),
     "T12_secret_lines": lambda s, sf: d.files(s, sf).select("doc_id", F.explode(F.split("content", "\n")).alias("text")).where(r.is_secret_line(F.col("text"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")),
-    "T6_T7_cache_keys": lambda s, sf: d.files(s, sf).select("doc_id", _key(F.lit("semgrep"), F.col("content")).alias("scan_key"), F.when(t.linter_of(F.col("path")).isNotNull(), _key(F.lit("linter"), t.linter_of(F.col("path")), F.col("content"))).alias("lint_key")),
     "T29_plain_title": lambda s, sf: s.createDataFrame([("![BUG](https://x.y/z) Title here\nmore",)], "b string").select(F.substring(F.trim(F.regexp_extract(F.regexp_replace("b", r"!\[[A-Z]+\]\([^)]*\)\s*", ""), r"^([^\n]*)", 1)), 1, 80).alias("title")),
     "T31_clipped": lambda s, sf: d.files(s, sf).select("doc_id", F.length(F.substring("content", 1, 300)).alias("body"), F.length(F.substring("path", 1, 60)).alias("title")),
 }
-ISSUE = "line, message, severity, rule_id"
-ORACLE = {f"{IDS[n]}_{n}": _values(rows, ISSUE) for n, (_, _, rows) in REPORTS.items()}
-LINTER = f"CASE {{e}} {' '.join(f'WHEN {_lit(k)} THEN {_lit(v)}' for k, v in t.LINTERS.items())} END"
-EXT = r"regexp_extract(path, '/[^/]+\.([^./]+)$', 1)"
 KEYS = r"list_distinct([b, s, regexp_extract(s, '([^/]*)$', 1)])"
 BARE = r"regexp_replace(regexp_replace(regexp_replace({c}, '^[./]+', ''), '\.(?:py|js|jsx|ts|tsx|go|java|rb)$', ''), '/index$', '')"
-ORACLE |= {
-    "X1_linter_of_file": sql("fl", f"SELECT doc_id, {LINTER.format(e=EXT)} AS linter FROM fl"),
-    "X5_python_issues": "SELECT * FROM (VALUES (2, 'ruff'), (9, 'bandit'), (1, 'bandit')) t(line, source)",
-    "X10_spotbugs": _values([(12, "Null", "warning", "NP")], ISSUE),
-    "X13_cppcheck": _values([(7, "Leak", "error", "leak")], ISSUE),
-    "X28_json_tool": "SELECT * FROM (VALUES ('a.json', 3, 'error'), ('b.json', 1, 'error')) t(path, line, severity)",
+ORACLE = {
     "X31_audit_severity": "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'error' WHEN 1 THEN 'error' WHEN 2 THEN 'warning' ELSE 'info' END AS severity FROM events",
-    "S18_sarif": _values([("a.py", 3, "ERROR", "r1", "a"), ("src/z.py", 4, "INFO", "r2", "b"), ("b.py", 1, "WARNING", "r3", "c")], "path, line, severity, check_id, message"),
-    "S19_scanner": _values([("/tmp/w/src/a.py", 2, "WARNING", "c", "m"), ("src/b.go", 9, "ERROR", "parse-error", "syntax")], "path, line, severity, check_id, message"),
-    "J9_T26_rekeyed": _values([("src/a.py", 2), ("src/b.go", 9)], "path, line"),
-    "T28_package_line": _values([("b", 3), ("z", 1)], "n, line"),
     "J7_overlapping_spans": f"WITH {SPANS} SELECT * FROM sp WHERE EXISTS (SELECT 1 FROM rg WHERE rg.path = sp.path AND start_line <= b AND end_line >= a)",
     "J8_contained_spans": f"WITH {SPANS} SELECT * FROM sp WHERE EXISTS (SELECT 1 FROM rg WHERE rg.path = sp.path AND start_line >= a AND end_line <= b)",
     "J10_J19_T21_callers": f"WITH ch AS (SELECT DISTINCT doc_id % 20 AS pr_id, 'src/mod' || (doc_id % 40) || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '/index.js' END AS path FROM documents), im AS (SELECT pr_id, path, CASE pr_id % 3 WHEN 0 THEN 'src.mod' || pr_id WHEN 1 THEN './mod' || (pr_id + 20) ELSE 'other' END AS name FROM ch), a AS (SELECT *, {BARE.format(c='name')} AS b FROM im), c AS (SELECT *, {BARE.format(c='path')} AS b FROM ch), ak AS (SELECT pr_id, path, unnest({KEYS}) AS k FROM (SELECT *, CASE WHEN contains(b, '/') THEN b ELSE replace(b, '.', '/') END AS s FROM a)), ckk AS (SELECT pr_id, path, unnest({KEYS}) AS k FROM (SELECT *, CASE WHEN contains(b, '/') THEN b ELSE replace(b, '.', '/') END AS s FROM c)) SELECT DISTINCT ak.pr_id, ak.path AS importer, ckk.path AS target, 'f' || ak.pr_id || ',run' AS names FROM ak JOIN ckk ON ak.pr_id = ckk.pr_id AND ak.k = ckk.k AND ak.path <> ckk.path AND ak.k <> ''",
@@ -176,7 +94,6 @@ ORACLE |= {
     "T15_json_object": "SELECT 7 AS id, '{\"a\": {\"b\": \"}\"}}' AS object",
     "T16_T36_review_items": _values(ITEMS, "id, line, severity, title, body, confidence"),
     "T18_without_marks": "SELECT 'a = 1' || chr(10) || ' b' || chr(10) AS code",
-    "T6_T7_cache_keys": sql("fl", f"l AS (SELECT doc_id, content, {LINTER.format(e=EXT)} AS linter FROM fl) SELECT doc_id, sha256('semgrep' || chr(0) || content) AS scan_key, CASE WHEN linter IS NOT NULL THEN sha256('linter' || chr(0) || linter || chr(0) || content) END AS lint_key FROM l"),
     "T29_plain_title": "SELECT 'Title here' AS title",
     "T31_clipped": sql("fl", "SELECT doc_id, CAST(least(length(content), 300) AS INTEGER) AS body, CAST(least(length(path), 60) AS INTEGER) AS title FROM fl"),
 }
