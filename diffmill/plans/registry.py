@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package that each have QUERIES and ORACLE.
-MODULES = ("feedback", "routing", "findings", "code", "reports", "tool_reports", "events", "settings")
+MODULES = ("feedback", "routing", "findings", "code", "reports", "tool_reports", "review", "events", "settings")
 
 
 def _merged(attribute: str) -> dict:

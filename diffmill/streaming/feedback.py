@@ -16,7 +16,7 @@ def routed(raw: DataFrame) -> DataFrame:
     broken = F.expr("try_parse_json(body)").isNull()
     action = F.col("j.action")
     route = (
-        F.when(~F.col("signed"), "401").when(broken, "400")
+        F.when(~F.coalesce("signed", F.lit(False)), "401").when(broken, "400")
         .when((F.col("event") == "pull_request") & action.isin("opened", "synchronize", "reopened"), "review").when((F.col("event") == "pull_request") & (action == "closed"), "sync")
         .when((F.col("event") == "issue_comment") & action.isin("created", "edited"), "comment").otherwise("ignored")
     )
