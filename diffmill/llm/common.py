@@ -1,51 +1,27 @@
-"""What the operators share: reading tables, written intermediate tables, word splitting."""
+"""What the operators share: reading tables, written intermediate tables, word splitting, names of columns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The white space of the contracts: space and the code points 9 to 13.
-SPACES = " \t\n\v\f\r"
-
+from diffmill.tables import new_folder, shared_dir, table, written
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the driver by any path that Spark can open."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; driver and executors share it.
-
-    Only where the session names none, as in tests on one machine, is a local folder made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = kept.get() if kept.isDefined() else None
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='diffmill-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/diffmill/{name}-{uuid.uuid4().hex}"
+__all__ = ["SPACES", "free", "new_folder", "one_space", "partitions", "shared_dir", "table", "written"]
 
+#: The white space of the contracts: space and the code points 9 to 13.
+SPACES = " \t\n\v\f\r"
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a written table of the shared folder: lineage ends here, and a lost executor loses nothing.
 
-    What is read again also has a known size, so that the planner broadcasts only what it has measured.
-    """
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes for docs to have no such column."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def one_space(text: Column) -> Column:
