@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -67,10 +68,11 @@ def weak_spans(text: str, base: list[Span]) -> list[Span]:
         parts += [(kind, m.start(), m.end()) for m in WEAK[kind].finditer(text)]
     own = sorted((a, b) for _, a, b in base)
     starts = [a for a, _ in own]
+    reach = list(accumulate((b for _, b in own), max))  # how far any of the spans up to here goes
 
     def inside(a: int, b: int) -> bool:
         at = bisect_left(starts, b)
-        return at > 0 and any(y > a for _, y in own[max(0, at - 3) : at])
+        return at > 0 and reach[at - 1] > a
 
     return [p for p in parts if not inside(p[1], p[2])]
 
@@ -80,21 +82,15 @@ def linked(base: list[Span], weak: list[Span], window: int = WINDOW) -> list[Spa
     by_kind: dict[str, list[tuple[int, int]]] = {}
     for kind, a, b in [*base, *weak]:
         by_kind.setdefault(kind, []).append((a, b))
-    for spans in by_kind.values():
+    firsts, reach = {}, {}
+    for kind, spans in by_kind.items():
         spans.sort()
-    firsts = {kind: [a for a, _ in spans] for kind, spans in by_kind.items()}
-    longest = {kind: max(b - a for a, b in spans) for kind, spans in by_kind.items()}
+        firsts[kind], reach[kind] = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
 
     def near(kind: str, a: int, b: int) -> bool:
-        """Whether a part of the kind lies within the window of [a, b): its start is in reach, and then its end."""
-        if kind not in by_kind:
-            return False
-        at = bisect_left(firsts[kind], a - window - longest[kind])
-        while at < len(firsts[kind]) and firsts[kind][at] <= b + window:
-            if by_kind[kind][at][1] >= a - window:
-                return True
-            at += 1
-        return False
+        """Whether a part of the kind lies within the window of [a, b): of those that start in reach, the furthest end does."""
+        at = bisect_right(firsts[kind], b + window) if kind in firsts else 0
+        return at > 0 and reach[kind][at - 1] >= a - window
 
     return [(kind, a, b) for kind, a, b in weak if all(any(near(k, a, b) for k in group) for group in NEEDS[kind])]
 

@@ -76,3 +76,16 @@ def test_secrets_right_after_an_equals_sign_and_of_other_lengths():
     padded = "aB3x" * 21 + "ab=="
     assert [b - a for k, a, b in found(f"{KEY}\nKEY={padded}") if k == "weak_secret"] == [88]
     assert [k for k, _, _ in found(f"AWS_ACCESS_KEY_ID={KEY}\nAWS_SECRET_ACCESS_KEY={FORTY}\nhttps://s.example.com/x")] == ["weak_secret", "weak_endpoint"]
+
+
+def test_weak_parts_inside_a_base_span_of_many_others():
+    runs = "0123456789abcdef" * 2
+    inner = "=".join([runs] * 4 + ["aB3x" * 8])
+    text = f"{KEY} secret={inner}"
+    assert [k for k, _, _ in s.base_spans(text)] == ["assign", "access", *["hex"] * 4]
+    assert found(text) == []
+
+
+def test_one_very_long_run_keeps_linking_linear():
+    text = "f" * 2_000_000 + " " + f"login=alice{' ' * 900}x " * 3_000
+    assert len(found(text)) == 1 and found(text)[0][0] == "weak_access"
