@@ -1,7 +1,7 @@
 """A deterministic sharded WARC writer, and its reader.
 
-Records are sorted by range: split points come from sums of bytes over equal ranges of ids, made finer where a range is
-heavy, so they depend on the data alone. Each task writes the records of its shard in order, one gzip member a record, and
+Records are sorted by range: split points come from running sums of bytes in the order of ids, so they depend on the data
+alone; the sums take one pass over (id, bytes) rows, whatever their number. Each task writes the records of its shard in order, one gzip member a record, and
 rolls to a new file once the compressed size is reached. Headers and digests are made anew from the payload. A file gets
 its final name when it is whole, from a temporary one that names the attempt; a manifest lists the committed files, and
 only those are read. A task that runs twice writes the same bytes under the same name. Payloads of revisits are not carried.
@@ -13,6 +13,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from decimal import Decimal
 from functools import partial
 
 import numpy as np
@@ -21,47 +22,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffmill.llm.common import new_folder, table, written
+from diffmill.llm.common import new_folder, partitions, table, written
 
 #: Compressed bytes after which a file is rolled; payload bytes of a shard, which are more where there would be more than
 #: SHARDS shards; the least payload that is revisited.
 ROLL, SHARD, SHARDS, REVISIT = 64 << 20, 32 << 20, 16_384, 1000
-#: Ranges that an interval of ids is cut into, to find split points.
-RANGES = 1024
 DATE = "1970-01-01T00:00:00Z"
 MANIFEST = "file string, shard long, part long, records long, bytes long, sha256 string"
 
 
 def split_points(rows: DataFrame, size: int) -> list[int]:
-    """Ids at which shards of about size payload bytes start, from sums over ranges of ids: (id, bytes) rows, null ids aside.
+    """Ids at which shards of about size payload bytes start: (id, bytes) rows, null ids aside.
 
-    A range that alone holds more than a shard is cut again, until it is one id. The driver sees RANGES sums at a time; the
-    first ones also say whether shards have to be larger, for there to be no more than about SHARDS of them.
+    A row's shard is the running sum of bytes before its id, divided by size. Running sums are those of parts, which a sort by
+    range makes, and within a part; they don't depend on where parts begin. The driver sees a sum for each part and the first
+    id of each shard; the total also says whether shards have to be larger, for there to be no more than about SHARDS of them.
     """
-    ends = rows.agg(F.min("id"), F.max("id")).first()
-    if ends[0] is None:
+    spark = rows.sparkSession
+    sums = rows.where("id IS NOT NULL").groupBy("id").agg(F.sum(F.col("bytes").cast("decimal(38,0)")).alias("bytes"))
+    sums = written(sums.repartitionByRange(partitions(spark), "id").withColumn("part", F.spark_partition_id()), "warc-sizes")
+    total, before = 0, []
+    for r in sorted(sums.groupBy("part").agg(F.min("id").alias("first"), F.sum("bytes").alias("n")).collect(), key=lambda r: r.first):
+        before.append((r.part, Decimal(total)))
+        total += int(r.n)
+    if not before:
         return []
-    points: list[int] = []
-    held = 0
-    stack = [(ends[0], ends[1])]
-    while stack:
-        low, high = stack.pop()
-        width = max(1, -(-(high - low + 1) // RANGES))
-        at = F.expr(f"(CAST(id AS DECIMAL(38,0)) - {low}BD) DIV {width}BD")  # long ids may be further apart than a long holds
-        sums = sorted((r.at, r.n) for r in rows.where(F.col("id").between(low, high)).groupBy(at.alias("at")).agg(F.sum("bytes").alias("n")).collect())
-        if not points and not held:
-            size = max(size, sum(n for _, n in sums) // SHARDS)
-        for i, (k, n) in enumerate(sums):
-            if n > size and width > 1:  # the finer ranges first, then what comes after them
-                if i + 1 < len(sums):
-                    stack.append((low + sums[i + 1][0] * width, high))
-                stack.append((low + k * width, min(low + (k + 1) * width - 1, high)))
-                break
-            if held and held + n > size:
-                points.append(low + k * width)
-                held = 0
-            held += n
-    return points
+    size = max(size, total // SHARDS)
+    parts = spark.createDataFrame(before, "part int, before decimal(38,0)")
+    placed = sums.join(F.broadcast(parts), "part").withColumn("at", F.expr("sum(bytes) OVER (PARTITION BY part ORDER BY id ROWS UNBOUNDED PRECEDING) - bytes + before"))
+    firsts = placed.groupBy(F.expr(f"at DIV {size}BD").alias("shard")).agg(F.min("id").alias("id"))
+    return sorted(r.id for r in firsts.collect())[1:]
 
 
 def _record(kind: str, page_id: int | None, url: str | None, payload: bytes, sha1: str, size: int, refers_to: int | None) -> bytes:
@@ -165,7 +155,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, roll: int = ROLL, sh
         F.when(~revisit, F.col("payload")).alias("payload"), "sha1", F.col("bytes").alias("size"), F.when(revisit, F.col("last")).alias("refers_to"),
     )
     n = len(points) + 1
-    rows = rows.repartition(n, "shard").sortWithinPartitions("shard", "page_id", "url", "sha1", "kind")
+    rows = rows.repartitionById(n, F.col("shard").cast("int")).sortWithinPartitions("shard", "page_id", "url", "sha1", "kind")
     found = rows.mapInArrow(partial(_write, folder=folder, roll=roll), MANIFEST)
     found.write.mode("overwrite").parquet(f"{folder}/manifest.parquet")  # committed by Spark's own protocol, when all files are
     return folder
@@ -235,8 +225,9 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str, payloads: bool) -> Ite
 def read_warc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     """A row for each record of the files that the manifest names: page_id, url, payload (empty for a revisit; null unless
     payloads), payload_bytes and payload_digest of the full payload, record_type, refers_to. Digests are checked."""
-    files = spark.read.parquet(f"{folder}/manifest.parquet").select("file")
-    return files.repartition(max(1, min(files.count(), 10_000)), "file").mapInArrow(partial(_read, folder=folder, payloads=payloads), READ)
+    files = spark.read.parquet(f"{folder}/manifest.parquet").select("file", "shard")
+    n = (files.agg(F.max("shard")).first()[0] or 0) + 1  # a task for each shard's files
+    return files.repartitionById(n, F.col("shard").cast("int")).mapInArrow(partial(_read, folder=folder, payloads=payloads), READ)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -81,3 +81,25 @@ def test_no_rows_and_one_hot_id(spark, tmp_path):
     rows = [(1, "u", BIG)] * 40
     got = w.read_warc(spark, w.write_warc(pages_of(spark, rows), str(tmp_path / "f"), shard_bytes=1000)).collect()
     assert len(got) == 40 and {r.record_type for r in got} == {"response"}
+
+
+def test_split_points_take_a_fixed_number_of_jobs(spark):
+    def jobs(rows, size):
+        tracker, group = spark.sparkContext.statusTracker(), f"points-{rows.count()}"
+        spark.sparkContext.setJobGroup(group, "")
+        points = w.split_points(rows, size)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(tracker.getJobIdsForGroup(group)), points
+
+    few, _ = jobs(spark.range(100).selectExpr("id * 1000 AS id", "100L AS bytes"), 50)
+    many, points = jobs(spark.range(10_000).selectExpr("id * 1000 AS id", "100L AS bytes"), 50)
+    assert many == few < 12 and points == [i * 1000 for i in range(1, 10_000)]
+
+
+def test_shards_are_tasks_of_their_own(spark, tmp_path):
+    rows = [(i, f"http://c/{i}", "x" * 500) for i in range(200)]
+    folder = w.write_warc(pages_of(spark, rows), str(tmp_path / "g"), shard_bytes=10_000)
+    manifest = spark.read.parquet(f"{folder}/manifest.parquet")
+    assert manifest.count() == manifest.select("shard").distinct().count() > 15
+    assert max(r.records for r in manifest.collect()) <= 11
+    assert w.read_warc(spark, folder).rdd.glom().map(len).collect().count(0) == 0
