@@ -4,7 +4,7 @@ Each source is a stream of its documents' words, cut into blocks of a fixed leng
 slots each source fills; draws are multinomial under the condition that all shards together take each source's quota, by
 splitting the shards in halves with seeded draws, so any shard's counts are found without those of the others. A source's
 slots are mapped through a pseudorandom permutation of its block numbers, once for each pass over the source, and slots and
-blocks are joined by number.
+blocks are joined by number. So shards differ in what they hold of each source by chance, and the whole mix meets its targets.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from diffmill.llm.common import one_space, partitions, table, written
+from diffmill.llm.common import free, one_space, partitions, table, written
 
 #: Words in a block, the share of all words that the mix has, the passes over a source at most, and slots in a shard.
-BLOCK, SHARE, PASSES, SHARD_SLOTS, SEED = 64, 1.5, 2, 65_536, 20_240_601
+BLOCK, SHARE, PASSES, SHARD_SLOTS, SEED = 64, 1.5, 2, 16_384, 20_240_601
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Sources whose sizes the driver plans with; each is one number. More sources are refused, not cut.
 MOST_SOURCES = 1_000_000
@@ -125,7 +125,8 @@ def word_count(text: Column) -> Column:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES, block: int = BLOCK, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """(documents, slots). documents has a row for each row of docs: doc_id, source, size (words), source_size, target (of its
-    source), taken (words that the mix takes, repeats counted). slots has a row for each slot of the mix: shard, source_no,
+    source), taken (words that the mix takes, repeats counted), first_shard (the first output shard that holds any of them, or
+    null). slots has a row for each slot of the mix: shard, source_no,
     block; documents' columns source_no, first (of its words in its source's stream) and size say what a block holds.
 
     Sources go by code point, null last, and weigh weights in turn. A document's words are taken passes times at most, as
@@ -160,30 +161,62 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     placed = written(placed.selectExpr("doc_id", "source", "source_no", "size", "source_size", "target", "if(size > 0, before + within, NULL) AS first"), "mix-placed")
     slots = spark.range(0, shards, 1, min(shards, 4 * n)).mapInArrow(partial(_slots, plan=list(zip(quotas, blocks.tolist(), strict=True)), shards=shards, slots=SHARD_SLOTS, seed=seed), "shard long, source_no long, block long")
     # joined by number: each slot's block with the pieces of documents that the block holds
-    drawn = slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
+    drawn = slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"), F.min("shard").alias("shard"))
     pieces = placed.where("size > 0").select("source_no", "first", "size", F.explode(F.expr(f"sequence(first DIV {block}, (first + size - 1) DIV {block})")).alias("block"))
     # merge joins: Spark guesses the size of an explosion by that of what it explodes, and would broadcast all pieces
-    held = pieces.join(drawn.hint("merge"), ["source_no", "block"]).selectExpr("source_no AS n", "first AS f", f"times * (least(first + size, (block + 1) * {block}) - greatest(first, block * {block})) AS words")
-    taken = held.groupBy("n", "f").agg(F.sum("words").alias("taken"))
+    held = pieces.join(drawn.hint("merge"), ["source_no", "block"]).selectExpr("source_no AS n", "first AS f", f"times * (least(first + size, (block + 1) * {block}) - greatest(first, block * {block})) AS words", "shard")
+    taken = held.groupBy("n", "f").agg(F.sum("words").alias("taken"), F.min("shard").alias("first_shard"))
     out = placed.join(taken.hint("merge"), (F.col("source_no") == F.col("n")) & (F.col("first") == F.col("f")), "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "source_no", "first"), slots
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "source_no", "first", "first_shard"), slots
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of docs as often as the mix takes them: its taken words by the document's size, rounded to whole documents.
+#: Rests of documents are counted in parts of this size: sums of them fit a long for 10 ** 12 documents of a source.
+GRAIN = 1_000_000
 
-    A document without words stays once, as no weight speaks of it. All columns of docs stay.
+
+def whole_copies(found: DataFrame, seed: int = SEED) -> DataFrame:
+    """found with copies: whole documents for the words that the mix takes of each, so that each source keeps its words.
+
+    A document has the whole part of taken / size, and one more where the running sum of the rests passes a whole number. Sums
+    run by source over documents in classes of near equal size, so what is rounded up in a class is as long as what is rounded
+    down: a source is off by about one document of each class, whatever the law of sizes. Where a sum begins is drawn by source
+    from the seed. Sums are made of (source, class, part), and within each by a window: no source is one task's.
+    """
+    n = partitions(found.sparkSession)
+    rows = found.where("size > 0").withColumns({"rest": F.expr(f"(taken % size) * {GRAIN}L DIV size"), "class": F.expr("CAST(log2(size) * 8 AS INT)"), "part": F.pmod(F.xxhash64("doc_id", "first"), F.lit(n)).cast("int")})
+    rows = written(rows, "mix-rests")
+    sums = rows.groupBy("source_no", "class", "part").agg(F.sum("rest").alias("n"))
+    start = F.pmod(F.xxhash64("source_no", F.lit(seed)), F.lit(GRAIN))
+    sums = sums.withColumn("before", F.expr("sum(n) OVER (PARTITION BY source_no ORDER BY class, part) - n") + start).drop("n")
+    upto = F.expr("sum(rest) OVER (PARTITION BY source_no, class, part ORDER BY first ROWS UNBOUNDED PRECEDING) + before")
+    rows = rows.join(sums, ["source_no", "class", "part"]).withColumn("upto", upto)
+    copies = F.expr(f"CAST(taken DIV size + upto DIV {GRAIN}L - (upto - rest) DIV {GRAIN}L AS INT)")
+    return rows.select("doc_id", "source", "size", "first", "taken", "target", copies.alias("copies"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:
+    """The rows of docs in whole copies, as whole_copies says: each source's words come near its target, by documents.
+
+    A document without words stays once, as no weight speaks of it. Rows that repeat id, source and size share their copies:
+    each is there equally often, and one of them as often more as the division leaves. All columns of docs stay, whatever
+    their names.
     """
-    found, _ = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    times = found.groupBy("doc_id", "source", "size").agg(F.max(F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size")))).cast("int").alias("__times"))
-    times = written(times.where("__times > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__times"), "mix-times")
-    rows = docs.withColumn("__words", word_count(F.col(text_col)))
-    same = rows[id_col].eqNullSafe(F.col("__id")) & rows[source_col].eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
-    rows = rows.join(times.hint("merge"), same).withColumn("__copy", F.explode(F.expr("sequence(1, __times)")))
-    return rows.select(*(rows[c] for c in docs.columns))
+    found, _ = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options)
+    own, source, size, words, each, more, copy = free(docs, "__id", "__source", "__size", "__words", "__each", "__more", "__copy")
+    copies = whole_copies(found, seed).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("rows")).where("n > 0")
+    copies = copies.select(F.col("doc_id").alias(own), F.col("source").alias(source), F.col("size").alias(size), F.expr("CAST(n DIV rows AS INT)").alias(each), F.expr("CAST(n % rows AS INT)").alias(more))
+    copies = written(copies, "mix-copies")
+    rows = docs.withColumn(words, word_count(F.col(text_col)))
+    same = rows[id_col].eqNullSafe(F.col(own)) & rows[source_col].cast("string").eqNullSafe(F.col(source)) & (F.col(words) == F.col(size))
+    # merge: both sides grow with the input, so the plan is the same at every size; no copies row for a text without words
+    met = rows.join(copies.hint("merge"), same, "left").withColumn(each, F.when(F.col(words) == 0, 1).otherwise(F.coalesce(each, F.lit(0))))
+    out = met.where(F.col(each) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(each)))).select(*docs.columns)
+    left = copies.where(F.col(more) > 0)
+    rest = rows.join(left.hint("merge"), same).groupBy(own, source, size, more).agg(F.min_by(F.struct(*(rows[c] for c in docs.columns)), F.xxhash64(rows[text_col])).alias(copy))
+    return out.unionByName(rest.withColumn(words, F.explode(F.sequence(F.lit(1), F.col(more)))).select(f"{copy}.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op10: the whole documents table."""
     found, _ = mix(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "size", "source_size", "target", "taken", "source")
+    return found.select("doc_id", "size", "source_size", "target", "taken", "source", "first_shard")

@@ -96,10 +96,52 @@ def test_empty_table_and_documents(spark):
     assert sorted(r.taken for r in m.mix(docs)[0].collect()) == [0, 0]
 
 
-def test_mixed_documents_keep_columns(spark):
-    docs = spark.createDataFrame([(i, "a b c " * 40, "en", f"s{i % 4}", 3) for i in range(60)] + [(99, "", "en", None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
+def mixed(spark, rows):
+    """(words of each source in the stage's output, its targets, copies of each id)."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = m.mixed_documents(docs)
     assert got.columns == docs.columns
-    counts = Counter(r.doc_id for r in got.collect())
-    taken = {r.doc_id: round(r.taken / r.size + 1e-9) for r in m.mix(docs)[0].collect() if r.size}
-    assert counts == {k: v for k, v in taken.items() if v} | {99: 1}
+    out = [tuple(r) for r in got.collect()]
+    assert set(out) <= set(rows)
+    words = Counter()
+    for r in out:
+        words[r[3]] += len((r[1] or "").split())
+    found = m.mix(docs)[0].collect()
+    return words, {r.source: r.target for r in found}, Counter(r[0] for r in out), found
+
+
+def test_mixed_documents_meet_the_targets(spark):
+    rng = random.Random(3)
+    rows = [(i, "a b " * 1000, "en", f"s{i % 3}", 3) for i in range(600)]
+    words, goal, copies, found = mixed(spark, rows)
+    assert all(abs(words[s] - t) <= 0.02 * t for s, t in goal.items()), (words, goal)
+    assert max(copies.values()) <= 2 and {round(t / 400_000, 3) for t in goal.values()} == {2.0, 0.833, 1.667}
+    rows = [(i, "w " * rng.choice([10, 300, 2000, 9000, rng.randrange(1, 5000)]), "en", f"s{i % 4}", 3) for i in range(1500)] + [(9999, "", "en", None, 0), (9998, None, "en", "s1", None)]
+    words, goal, copies, found = mixed(spark, rows)
+    assert all(abs(words[s] - t) <= 0.02 * t for s, t in goal.items() if t), (words, goal)
+    assert copies[9999] == copies[9998] == 1 and all(copies[r.doc_id] in (r.taken // r.size, -(-r.taken // r.size)) for r in found if r.size)
+
+
+def test_repeated_rows_and_names_that_clash(spark):
+    names = "__id __source __size __words __each __more __copy".split()
+    rows = [(i, "a b c " * 50, f"s{i % 2}", *range(7)) for i in range(40)] + [(7, "a b c " * 50, "s1", *range(7))] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} long" for n in names))
+    got = m.mixed_documents(docs)
+    assert got.columns == docs.columns
+    out = Counter(map(tuple, got.collect()))
+    assert set(out) <= set(rows) and all(n <= 2 * rows.count(r) for r, n in out.items())
+    n = Counter()
+    for r, k in out.items():
+        n[r[2]] += 150 * k
+    goal = {r.source: r.target for r in m.mix(docs)[0].collect()}
+    assert all(abs(n[s] - t) <= 300 for s, t in goal.items())
+
+
+def test_draws_say_which_shard_holds_what(spark, monkeypatch):
+    monkeypatch.setattr(m, "SHARD_SLOTS", 20)
+    docs = spark.createDataFrame([(i, "w " * 100, f"s{i % 3}") for i in range(150)], "doc_id long, text string, source string")
+    one, two = ({r.doc_id: (r.taken, r.first_shard) for r in m.mix(docs, seed=s)[0].collect()} for s in (1, 2))
+    again = {r.doc_id: (r.taken, r.first_shard) for r in m.mix(docs.repartition(3), seed=1)[0].collect()}
+    assert one == again != two and len({f for _, f in one.values()}) > 5
+    counts = Counter((r.shard, r.source_no) for r in m.mix(docs, seed=1)[1].collect())
+    assert len({counts[s, 0] for s in range(10)}) > 2  # shards differ, as draws do
