@@ -3,7 +3,8 @@
 Each tier is a count over narrow keys that Spark combines before it shuffles, so a hot key costs one row a task.
 The keys of (length, prefix hash) that two or more rows share are folded into a bitmap of a fixed size, which is
 broadcast. The second scan looks each row up there and hashes full content only for rows whose bit is set. A bit that
-is set by chance costs a hash and changes no result. No text is ever shuffled.
+is set by chance costs a hash and changes no result. No text is shuffled to find copies; only the stage that drops rows moves
+whole documents, to meet the table of those that go.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from diffmill.llm.common import one_space, written
+from diffmill.llm.common import free, one_space, written
 
 #: Code points of the prefix that the second tier hashes.
 PREFIX_CHARS = 256
@@ -92,18 +93,28 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns. Rows that repeat a kept id and text all stay.
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeats: bool = True) -> DataFrame:
+    """The rows of docs that exact_dedup keeps, with all their columns, whatever their names. Rows that repeat a kept id and
+    text all stay, as they are no other documents; without repeats, one of them stays, as exact_dedup has it.
 
     Only narrow rows of shared texts are matched with their groups; the documents meet a table of (id, hash) to drop.
     """
-    groups, _ = exact_groups(docs, id_col, text_col)
-    sha = F.unhex(F.sha2(one_space(F.col(text_col)), 256))
-    gone = docs.select(F.col(id_col).alias("__gone_id"), sha.alias("sha")).join(groups, "sha").where(~F.col("__gone_id").eqNullSafe(F.col("keep_id")))
-    gone = written(gone.select("__gone_id", F.col("sha").alias("__gone_sha")).distinct(), "dedup-gone")
-    rows = docs.withColumn("__sha", sha)
+    own, hashed, sha, row = free(docs, "__gone_id", "__gone_sha", "__sha", "__row")
+    groups, bitmap = exact_groups(docs, id_col, text_col)
+    text = F.unhex(F.sha2(one_space(F.col(text_col)), 256))
+    # of the rows that the first two tiers leave only: others share no text
+    shared = maybe(_keyed(docs, id_col, text_col), bitmap).where("__maybe").select("__id", F.unhex(F.sha2("__norm", 256)).alias("sha")).join(groups, "sha")
+    gone = written(shared.where(~F.col("__id").eqNullSafe(F.col("keep_id"))).select(F.col("__id").alias(own), F.col("sha").alias(hashed)).distinct(), "dedup-gone")
+    rows = docs.withColumn(sha, text)
     # merge: both sides grow with the input, so the plan is the same at every size
-    return rows.join(gone.hint("merge"), rows[id_col].eqNullSafe(F.col("__gone_id")) & (F.col("__sha") == F.col("__gone_sha")), "left_anti").drop("__sha")
+    rows = rows.join(gone.hint("merge"), rows[id_col].eqNullSafe(F.col(own)) & (rows[sha] == F.col(hashed)), "left_anti")
+    if repeats:
+        return rows.select(*docs.columns)
+    again = written(shared.where(F.col("__id").eqNullSafe(F.col("keep_id"))).groupBy("__id", "sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("__id").alias(own), F.col("sha").alias(hashed)), "dedup-again")
+    same = rows[id_col].eqNullSafe(F.col(own)) & (rows[sha] == F.col(hashed))
+    # one row of each key by an aggregation, so a row that repeats very often is combined before it is shuffled
+    first = rows.join(again, same, "left_semi").groupBy(id_col, sha).agg(F.first(F.struct(*docs.columns)).alias(row)).select(f"{row}.*")
+    return rows.join(again, same, "left_anti").select(*docs.columns).unionByName(first)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
