@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diffmill.llm.common import partitions, table, written
+from diffmill.llm.common import free, partitions, table, written
 
 WORDS, RADIUS, BITS, SEED = 4, 4, 64, 42
 #: A key that more distinct fingerprints share is dealt out once more by their other bits.
 HOT = 8192
 #: Fingerprints compared at once against a block; bounds the memory of a comparison.
-QUERIES, BLOCK = 256, 16_384
+QUERIES, BLOCK = 64, 16_384
 #: Band keys of a text: BANDS keys of BAND_HASHES minimum hashes. A pair of Jaccard similarity s shares none with a
 #: probability of (1 - s ** BAND_HASHES) ** BANDS: 1.3e-7 at 0.8.
 BANDS, BAND_HASHES = 40, 5
@@ -88,15 +88,18 @@ def within(queries: np.ndarray, sliced: np.ndarray, radius: int, order: list[int
     """For each query a row of words whose bits say which of the block's n fingerprints are within the radius; None if none is.
 
     Carry-save: each plane of differences is added into counters of one bit a plane, low to high, with a sticky word for
-    what has passed the radius. Counters start at a value from which radius + 1 differences carry out of the top.
+    what has passed the radius. Counters start at a value from which radius + 1 differences carry out of the top. Words whose
+    64 fingerprints are all too far from all queries are abandoned, and the block with its last word.
     """
     digits = (radius + 1).bit_length() if radius else 1
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     first = (1 << digits) - (radius + 1)
-    shape = (len(queries), sliced.shape[1])
+    width = sliced.shape[1]
+    shape = (len(queries), width)
     counters = [np.full(shape, full if first >> d & 1 else 0, np.uint64) for d in range(digits)]
     over = np.zeros(shape, np.uint64)
     over[:, -1] = ~np.uint64((1 << (n - 1) % 64 + 1) - 1)  # what pads the last word is out from the start
+    open_ = np.arange(width)
     for step, b in enumerate(order):
         carry = sliced[b][None, :] ^ np.where((queries >> np.uint64(b)) & np.uint64(1), full, np.uint64(0))[:, None]
         for d in range(digits):
@@ -104,9 +107,15 @@ def within(queries: np.ndarray, sliced: np.ndarray, radius: int, order: list[int
             counters[d] ^= carry
             carry = both
         over |= carry
-        if step >= radius and step % 4 == 3 and (over == full).all():
-            return None
-    return ~over
+        if step >= radius and step % 8 == 7:
+            left = (over != full).any(axis=0)
+            if not left.any():
+                return None
+            if 2 * left.sum() <= len(left):
+                open_, sliced, over, counters = open_[left], sliced[:, left], over[:, left], [c[:, left] for c in counters]
+    out = np.zeros(shape, np.uint64)
+    out[:, open_] = ~over
+    return out if (over != full).any() else None
 
 
 class Forest:
@@ -384,7 +393,7 @@ def checked(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def similar(nodes: DataFrame, docs: DataFrame, radius: int, least: float, k: int, text_col: str) -> DataFrame:
-    """Links (a, b) of nodes (node, id, raw, fp, keys) that connect all pairs with a Jaccard similarity of least or more."""
+    """Links (a, b) of nodes (node, raw, fp, keys) that connect all pairs with a Jaccard similarity of least or more."""
     spark = docs.sparkSession
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     # keys of the same texts are one key: their sum of hashes says so
@@ -415,15 +424,18 @@ def similar(nodes: DataFrame, docs: DataFrame, radius: int, least: float, k: int
 
 
 def near_components(docs: DataFrame, words: int, radius: int, id_col: str, text_col: str, least: float, k: int) -> DataFrame:
-    """id, fp and component_id of each row of docs, by links of texts that are checked."""
+    """id, raw (hash of the text), fp, component_id and stays of each row of docs, by links of texts that are checked. stays: the
+    row has the least id of its component, and of rows of that id the least raw."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("raw"), text.alias("text"))
     rows = written(rows.mapInArrow(partial(_texts, words=words, k=k), "id long, raw long, fp long, node long, keys array<long>"), "simhash")
-    nodes = written(rows.groupBy("node").agg(F.min("id").alias("id"), F.min("raw").alias("raw"), F.min("fp").alias("fp"), F.min("keys").alias("keys")), "simhash-texts")
+    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "raw"))).alias("first")
+    nodes = written(rows.groupBy("node").agg(first, F.min("raw").alias("raw"), F.min("fp").alias("fp"), F.min("keys").alias("keys")), "simhash-texts")
     root = written(components(similar(nodes, docs, radius, least, k, text_col)), "simhash-roots")
-    named = nodes.select("node", "id").join(root, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
-    ids = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    return rows.select("id", "fp", "node").join(named.join(ids, "root").select("node", "component_id"), "node").select("id", "fp", "component_id")
+    named = nodes.select("node", "first").join(root, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    ids = named.groupBy("root").agg(F.min("first").alias("kept"))
+    found = rows.select("id", "raw", "fp", "node").join(named.join(ids, "root").select("node", "kept"), "node")
+    return found.select("id", "raw", "fp", F.col("kept.id").alias("component_id"), (F.struct("id", "raw") == F.col("kept")).alias("stays"))
 
 
 def simhash_dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", least: float | None = None, least_words: int = 5) -> DataFrame:
@@ -450,12 +462,20 @@ def simhash_dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, id_
     return rows.join(linked, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", least: float | None = None) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, with all columns; rows of a null id stay."""
-    found = simhash_dedup(docs, words, radius, id_col, text_col, least)
-    gone = written(found.where("doc_id > component_id").select(F.col("doc_id").alias("__gone")).distinct(), "simhash-gone")
-    # merge: both sides grow with the input, so the plan is the same at every size
-    return docs.join(gone.hint("merge"), docs[id_col] == F.col("__gone"), "left_anti")
+def drop_near_copies(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", least: float | None = None, least_words: int = 5) -> DataFrame:
+    """The rows of docs whose id is the smallest of its component, with all columns, whatever their names; rows of a null id
+    stay. With least, one text of that id stays, where several rows have it; rows that repeat id and text are dropped or stay
+    together."""
+    own, raw = free(docs, "__gone", "__gone_raw")
+    if least is None:
+        found = simhash_dedup(docs, words, radius, id_col, text_col)
+        gone = written(found.where("doc_id > component_id").select(F.col("doc_id").alias(own)).distinct(), "simhash-gone")
+        # merge: both sides grow with the input, so the plan is the same at every size
+        return docs.join(gone.hint("merge"), docs[id_col] == F.col(own), "left_anti")
+    found = near_components(docs, words, radius, id_col, text_col, least, least_words)
+    gone = written(found.where("id IS NOT NULL AND NOT stays").select(F.col("id").alias(own), F.col("raw").alias(raw)).distinct(), "simhash-gone")
+    same = (docs[id_col] == F.col(own)) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == F.col(raw))
+    return docs.join(gone.hint("merge"), same, "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
