@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from diffmill.llm.common import SPACES, table, written
+from diffmill.llm.common import SPACES, free, table, written
 
 #: A line is boilerplate of a host if at least MIN_DOCS different texts of it hold the line, and over MAX_SHARE of them; or if
 #: MOST_DOCS hold it, whatever the size of the host: a share alone lets through more copies of a line the larger a host is.
@@ -135,19 +135,21 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 
 
 def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars", **limits) -> DataFrame:
-    """The rows of docs that quality keeps, with all columns, and their text without the frequent lines of their host. Texts
-    without such lines stay as they are; where lines go, chars_col, if there is one, becomes the length of what is left."""
+    """The rows of docs that quality keeps, with all columns, whatever their names, and their text without the frequent lines of
+    their host. Texts without such lines stay as they are; where lines go, chars_col, if there is one, becomes the length of
+    what is left."""
+    own, own_text, own_host, kept, bad, hashed, placed = free(docs, "__id", "__t", "__h", "__kept", "__bad", "__text", "__host")
     text, host = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(host_col).cast("string")
     # one row for each (id, text, host) that is dropped or loses lines
-    fate = _judged(docs, id_col, text_col, host_col, **limits).where("NOT kept OR __bad IS NOT NULL").groupBy(F.col("doc_id").alias("__id"), F.col("__text").alias("__t"), F.col("__host").alias("__h"))
-    fate = written(fate.agg(F.first("kept").alias("__kept"), F.first("__bad").alias("__bad")), "quality-fate")
-    rows = docs.withColumns({"__text": F.xxhash64(text), "__host": F.xxhash64(host.isNull(), F.coalesce(host, F.lit("")))})
+    fate = _judged(docs, id_col, text_col, host_col, **limits).where("NOT kept OR __bad IS NOT NULL").groupBy(F.col("doc_id").alias(own), F.col("__text").alias(own_text), F.col("__host").alias(own_host))
+    fate = written(fate.agg(F.first("kept").alias(kept), F.first("__bad").alias(bad)), "quality-fate")
+    rows = docs.withColumns({hashed: F.xxhash64(text), placed: F.xxhash64(host.isNull(), F.coalesce(host, F.lit("")))})
     # merge: both sides grow with the input, so the plan is the same at every size
-    rows = rows.join(fate.hint("merge"), rows[id_col].eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__t")) & (F.col("__host") == F.col("__h")), "left").where(F.coalesce("__kept", F.lit(True)))
-    left = F.when(F.col("__bad").isNull(), F.col(text_col)).otherwise(without_lines(text, F.col("__bad")))
+    rows = rows.join(fate.hint("merge"), rows[id_col].eqNullSafe(F.col(own)) & (F.col(hashed) == F.col(own_text)) & (F.col(placed) == F.col(own_host)), "left").where(F.coalesce(kept, F.lit(True)))
+    left = F.when(F.col(bad).isNull(), F.col(text_col)).otherwise(without_lines(text, F.col(bad)))
     rows = rows.withColumn(text_col, left)
     if chars_col in docs.columns:
-        rows = rows.withColumn(chars_col, F.when(F.col("__bad").isNull(), F.col(chars_col)).otherwise(F.length(text_col)).cast(docs.schema[chars_col].dataType))
+        rows = rows.withColumn(chars_col, F.when(F.col(bad).isNull(), F.col(chars_col)).otherwise(F.length(text_col)).cast(docs.schema[chars_col].dataType))
     return rows.select(*docs.columns)
 
 

@@ -45,8 +45,12 @@ def test_stages_against_brute_force(spark):
     assert ids("exact_dedup") == sorted(first.values())
     assert ids("simhash_near_dedup") == sorted(set(first.values()) - {102})
     found, _ = mixing.mix(out["simhash_near_dedup"])
-    times = Counter({r.doc_id: round(r.taken / r.size + 1e-9) for r in found.collect()})
-    assert Counter(ids("mixing")) == +times
+    found = found.collect()
+    times = Counter(ids("mixing"))
+    assert all(times[r.doc_id] in (r.taken // r.size, -(-r.taken // r.size)) for r in found)
+    for source in ("src0", "src1", "src2"):
+        own = [r for r in found if r.source == source]
+        assert abs(sum(times[r.doc_id] * r.size for r in own) - own[0].target) <= max(r.size for r in own)
     packed = out["packing"].collect()
     assert Counter(r.doc_id for r in packed if r.start == 0) == +times
     assert max(r.offset + r.length for r in packed) <= 2048
@@ -71,3 +75,19 @@ def test_near_copies_far_apart_in_bits(spark):
     assert sum(x > corpus_pipeline.NEAR_RADIUS for x in far) > 5
     got = corpus_pipeline.drop_near(spark, spark.createDataFrame(rows, COLUMNS), "")
     assert sorted(r.doc_id for r in got.collect()) == [r[0] for r in rows[::2]]
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    rng = random.Random(14)
+    rows = [(i, " ".join(f"w{rng.randrange(9000)}" for _ in range(80)), "en", f"s{i % 2}", 1) for i in range(30)]
+    extra = "__id __t __h __kept __bad __text __host __gone_id __gone_sha __sha __row __gone __gone_raw"
+    rows = [(*r, *range(13)) for r in [*rows, rows[3], rows[3], (50, rows[3][1].replace(" ", "\t"), *rows[3][2:]), (None, rows[4][1], "en", None, 1), (None, rows[4][1], "en", None, 1), (5, rows[6][1] + " x", "en", "s0", 1)]]
+    docs = spark.createDataFrame(rows, COLUMNS + "".join(f", {n} long" for n in extra.split()))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = simhash.written(stage(spark, docs, ""), f"clash-{name}")
+        assert docs.columns[5:] == extra.split() and {tuple(r)[5:] for r in docs.collect()} == {tuple(range(13))}
+        if name == "exact_dedup":
+            assert Counter(r.doc_id for r in docs.collect()) == Counter([*range(30), 5])
+        if name == "simhash_near_dedup":
+            kept = [(r.doc_id, r.text) for r in docs.collect()]
+            assert Counter(i for i, _ in kept) == Counter([*(i for i in range(30) if i != 6), 5])
