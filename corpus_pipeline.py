@@ -25,8 +25,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
-    return exact_dedup.drop_exact_copies(docs)
+    """One document of each text, also where rows repeat."""
+    return exact_dedup.drop_exact_copies(docs, repeats=False)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them, in whole documents."""
+    """Whole documents, as often as the words that the mix takes of each source ask for."""
     return mixing.mixed_documents(docs)
 
 
