@@ -100,21 +100,26 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Only narrow rows of shared texts are matched with their groups; the documents meet a table of (id, hash) to drop.
     """
     own, hashed, sha, row = free(docs, "__gone_id", "__gone_sha", "__sha", "__row")
-    groups, bitmap = exact_groups(docs, id_col, text_col)
-    text = F.unhex(F.sha2(one_space(F.col(text_col)), 256))
-    # of the rows that the first two tiers leave only: others share no text
-    shared = maybe(_keyed(docs, id_col, text_col), bitmap).where("__maybe").select("__id", F.unhex(F.sha2("__norm", 256)).alias("sha")).join(groups, "sha")
-    gone = written(shared.where(~F.col("__id").eqNullSafe(F.col("keep_id"))).select(F.col("__id").alias(own), F.col("sha").alias(hashed)).distinct(), "dedup-gone")
-    rows = docs.withColumn(sha, text)
-    # merge: both sides grow with the input, so the plan is the same at every size
-    rows = rows.join(gone.hint("merge"), rows[id_col].eqNullSafe(F.col(own)) & (rows[sha] == F.col(hashed)), "left_anti")
-    if repeats:
-        return rows.select(*docs.columns)
-    again = written(shared.where(F.col("__id").eqNullSafe(F.col("keep_id"))).groupBy("__id", "sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("__id").alias(own), F.col("sha").alias(hashed)), "dedup-again")
-    same = rows[id_col].eqNullSafe(F.col(own)) & (rows[sha] == F.col(hashed))
+    keyed = _keyed(docs, id_col, text_col)
+    bitmap = written(_survivors(keyed), "dedup-bitmap")
+    # one scan hashes what the first two tiers leave; from it come groups, what goes, and kept rows that repeat
+    members = written(maybe(keyed, bitmap).where("__maybe").select("__id", F.unhex(F.sha2("__norm", 256)).alias("sha")), "dedup-members")
+    groups = members.groupBy("sha").agg(F.min("__id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1").select("sha", "keep_id")
+    met = members.groupBy("__id", "sha").agg(F.count(F.lit(1)).alias("n")).join(groups, "sha")
+    met = written(met.select(F.col("__id").alias(own), F.col("sha").alias(hashed), "n", F.col("__id").eqNullSafe(F.col("keep_id")).alias("stays")), "dedup-met")
+    rows = docs.withColumn(sha, F.unhex(F.sha2(one_space(F.col(text_col)), 256)))
+
+    def matched(df: DataFrame, keys: DataFrame, kind: str) -> DataFrame:
+        # merge: both sides grow with the input, so the plan is the same at every size
+        return df.join(keys.select(own, hashed).hint("merge"), df[id_col].eqNullSafe(F.col(own)) & (df[sha] == F.col(hashed)), kind)
+
+    kept = matched(rows, met.where("NOT stays"), "left_anti")
+    again = met.where("stays AND n > 1")
+    if repeats or again.isEmpty():
+        return kept.select(*docs.columns)
     # one row of each key by an aggregation, so a row that repeats very often is combined before it is shuffled
-    first = rows.join(again, same, "left_semi").groupBy(id_col, sha).agg(F.first(F.struct(*docs.columns)).alias(row)).select(f"{row}.*")
-    return rows.join(again, same, "left_anti").select(*docs.columns).unionByName(first)
+    first = matched(kept, again, "left_semi").groupBy(id_col, sha).agg(F.first(F.struct(*docs.columns)).alias(row)).select(f"{row}.*")
+    return matched(kept, again, "left_anti").select(*docs.columns).unionByName(first)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
