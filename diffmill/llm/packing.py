@@ -74,6 +74,22 @@ def best_pattern(values: np.ndarray, sizes: np.ndarray, room: int, most: np.ndar
     return float(best[room]), np.minimum(pattern, most)
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """The inverse by elimination with row pivots. The matrix has a row for each length class at most, and a linear algebra
+    library that starts threads of its own on the driver may wait for cores that Spark's tasks hold."""
+    m = len(matrix)
+    work = np.hstack([matrix.astype(float), np.eye(m)])
+    for i in range(m):
+        top = i + int(np.abs(work[i:, i]).argmax())
+        if top != i:
+            work[[i, top]] = work[[top, i]]
+        work[i] /= work[i, i]
+        factors = work[:, i].copy()
+        factors[i] = 0.0
+        work -= factors[:, None] * work[i][None, :]
+    return work[:, m:]
+
+
 def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[np.ndarray, float]]:
     """Patterns and how often the linear program uses each: least sequences that hold the demand. Revised simplex: the
     basis starts with patterns of one class each, and the pattern that the knapsack finds best enters."""
@@ -84,13 +100,13 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[
     x = demand / full
     for turn in range(1, COLUMNS + 1):
         if turn % 256 == 0:  # against the rounding errors of many updates
-            inverse = np.linalg.inv(basis)
-            x = np.maximum(inverse @ demand, 0.0)
+            inverse = inverted(basis)
+            x = np.maximum((inverse * demand).sum(axis=1), 0.0)
         duals = inverse.sum(axis=0)
         worth, pattern = best_pattern(duals, sizes, room, np.full(m, room))
         if worth <= 1 + GAP:
             break
-        direction = inverse @ pattern
+        direction = (inverse * pattern).sum(axis=1)
         up = direction > 1e-9
         if not up.any():
             break

@@ -80,3 +80,10 @@ def test_plan_of_a_usual_histogram_pads_little():
     demand = Counter(np.minimum(np.ceil(rng.lognormal(6, 1, 100_000) % 2047 / 16).astype(int) + 1, 128).tolist())
     made = p.plan(demand)
     assert sum(n for n, _ in made) * 128 <= 1.005 * sum(c * n for c, n in demand.items())
+
+
+def test_inverse_by_elimination():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 7, 128):
+        a = rng.integers(0, 5, (n, n)) + 20 * np.eye(n)[rng.permutation(n)]
+        assert np.abs((a[:, :, None] * p.inverted(a)[None, :, :]).sum(axis=1) - np.eye(n)).max() < 1e-8
