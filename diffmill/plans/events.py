@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from diffmill.operators import findings as f
 from diffmill.plans import derived as d
 from diffmill.plans.derived import sql
-from diffmill.plans.findings import SEV, _counts
+from diffmill.plans.findings import ORACLE as FINDINGS
+from diffmill.plans.findings import _counts
 from diffmill.sources import repository as src
 from diffmill.streaming import feedback as st
 from diffmill.tables import new_folder
@@ -25,9 +26,9 @@ ROUTES = [("review", "a/b", 3, None, None), ("review", "a/b", None, "abc", None)
 def _stream(spark, sf: str):
     """The events table as a stream of its files, with timestamps that a watermark takes."""
     folder = new_folder(spark, "stream")
-    d.feedback_events(spark, sf).withColumn("created_at", F.col("created_at").cast("timestamp")).write.parquet(f"{folder}/in")
+    d.feedback_events(spark, sf).withColumn("created_at", F.col("created_at").cast("timestamp")).repartition(4).write.parquet(f"{folder}/in")
     schema = spark.read.parquet(f"{folder}/in").schema
-    return folder, spark.readStream.schema(schema).parquet(f"{folder}/in")
+    return folder, spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
 
 
 def _first(spark, sf: str):
@@ -40,7 +41,7 @@ def _latest(spark, sf: str):
     folder, events = _stream(spark, sf)
     rows = events.select("comment_id", "review_id", "event_id")
     (rows.writeStream.foreachBatch(st.keep_latest(spark, f"{folder}/table", ["comment_id"], "event_id")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination())
-    return spark.read.parquet(f"{folder}/table/v=0")
+    return st.last_version(spark, f"{folder}/table", f"{folder}/state")
 
 
 def _lit(v) -> str:
@@ -56,7 +57,7 @@ QUERIES = {
     "S7_file_contents": lambda s, sf: d.table(s, sf, "documents").where("text IS NOT NULL").selectExpr("doc_id", "length(text) AS n"),
     "S8_lockfiles": lambda s, sf: src.with_lockfiles(s.createDataFrame([(1, "web/package.json"), (1, "web/yarn.lock"), (2, "package.json"), (3, "a.py")], "pr_id int, path string")),
     "S10_review_rows": lambda s, sf: d.table(s, sf, "documents").select("doc_id", F.md5(src.review_row(F.repeat(F.coalesce("text", F.lit("")), 20))).alias("body")),
-    "S17_commit_status": lambda s, sf: src.commit_status(f.block_policy(_counts(s, sf))).select("review_id", "state"),
+    "S17_commit_status": lambda s, sf: src.commit_status(f.block_policy(_counts(s, sf))).select("review_id", "state", "description"),
 }
 ORACLE = {
     "E1_E2_E3_routed_hooks": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_lit, r)) + ")" for r in ROUTES) + ") t(route, repo, pr_number, before_sha, command)",
@@ -67,5 +68,5 @@ ORACLE = {
     "S7_file_contents": "SELECT doc_id, CAST(length(text) AS INTEGER) AS n FROM documents WHERE text IS NOT NULL",
     "S8_lockfiles": "SELECT * FROM (VALUES (1, 'web/package.json'), (1, 'web/yarn.lock'), (1, 'web/package-lock.json'), (2, 'package.json'), (2, 'package-lock.json'), (2, 'yarn.lock'), (3, 'a.py')) t(pr_id, path)",
     "S10_review_rows": "SELECT doc_id, md5(CASE WHEN length(repeat(coalesce(text, ''), 20)) > 65535 THEN substr(repeat(coalesce(text, ''), 20), 1, 65532) || '...' ELSE repeat(coalesce(text, ''), 20) END) AS body FROM documents",
-    "S17_commit_status": sql("fd", f"SELECT CAST(substr(path, 2) AS BIGINT) // 10 AS review_id, CASE WHEN bool_or({SEV} IN ('bug', 'security')) THEN 'failure' ELSE 'success' END AS state FROM fd GROUP BY 1"),
+    "S17_commit_status": f"SELECT review_id, CASE WHEN blocked THEN 'failure' ELSE 'success' END AS state, substr(description, 1, 140) AS description FROM ({FINDINGS['A9_block_policy']})",
 }

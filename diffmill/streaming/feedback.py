@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffmill.operators.feedback import latest, parsed_command, upsert
+from diffmill.operators.feedback import latest, parsed_command
 
 PAYLOAD = "struct<action:string,before:string,comment:struct<body:string,id:bigint>,pull_request:struct<number:int>,repository:struct<full_name:string>>"
 
@@ -32,16 +32,26 @@ def first_reactions(events: DataFrame, within: str | None = None) -> DataFrame:
 
 
 def keep_latest(spark: SparkSession, path: str, keys: list[str], *order: str):
-    """A foreachBatch function that merges each batch into versions of a table: version n is what batch n left. A batch that runs
-    again writes the same version, so a restart repeats nothing."""
+    """A foreachBatch function that merges each batch into versions of a table: version n is what batch n left, the last row of
+    each key by the order given, in whatever order rows arrive. A batch that runs again writes the same version, so a restart
+    repeats nothing."""
 
     def merge(batch: DataFrame, n: int) -> None:
-        rows = latest(batch, keys, *order) if n == 0 else upsert(spark.read.parquet(f"{path}/v={n - 1}"), batch, keys, *order)
+        rows = latest(batch if n == 0 else spark.read.parquet(f"{path}/v={n - 1}").unionByName(batch), keys, *order)
         rows.write.mode("overwrite").parquet(f"{path}/v={n}")
 
     return merge
 
 
+def last_version(spark: SparkSession, path: str, checkpoint: str) -> DataFrame:
+    """The table as the last batch that the stream committed left it."""
+    jvm = spark._jvm
+    commits = jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+    fs = commits.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [int(f.getPath().getName()) for f in fs.listStatus(commits) if f.getPath().getName().isdigit()]
+    return spark.read.parquet(f"{path}/v={max(done)}")
+
+
 def run_available(stream: DataFrame, checkpoint: str, out: str) -> None:
     """Appends all that is there to a table, and ends."""
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()

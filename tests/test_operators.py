@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from diffmill.functions import replies
 from diffmill.operators import clones, diffs, feedback, findings, similarity
-from diffmill.sources import repository
+from diffmill.sources import repository, seams
 from diffmill.streaming import feedback as stream
 
 FINDING = "path string, line int, seq long, impact string, certainty string, category string, title string, body string, critic_exempt boolean, post_inline boolean"
@@ -145,3 +145,64 @@ def test_stream_restarts_where_it_was(spark, tmp_path):
     make((1, "u", 4), (3, "v", 5)).write.mode("append").parquet(f"{tmp_path}/in")
     stream.run_available(read(), f"{tmp_path}/state", f"{tmp_path}/out")
     assert sorted(r.comment_id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2, 3]
+
+
+def test_stream_merges_batches_in_any_order(spark, tmp_path):
+    schema = "k int, v string, n int"
+    for i, rows in enumerate([[(1, "new", 9), (2, "a", 1)], [(1, "old", 3), (2, "b", 2)], [(3, "c", 1)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append" if i else "overwrite").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    source.writeStream.foreachBatch(stream.keep_latest(spark, f"{tmp_path}/t", ["k"], "n")).option("checkpointLocation", f"{tmp_path}/s").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(tuple(r) for r in stream.last_version(spark, f"{tmp_path}/t", f"{tmp_path}/s").collect()) == [(1, "new", 9), (2, "b", 2), (3, "c", 1)]
+    assert not (tmp_path / "t" / "v=3").exists() and (tmp_path / "t" / "v=2").exists()
+
+
+def test_unsigned_hooks_are_refused(spark):
+    df = spark.createDataFrame([("pull_request", '{"action": "opened"}', s) for s in (True, False, None)], "event string, body string, signed boolean")
+    assert [r.route for r in stream.routed(df).collect()] == ["review", "401", "401"]
+
+
+def test_calls_are_tried_again_and_give_up():
+    waits, left = [], [3]
+
+    def call(x):
+        left[0] -= 1
+        if left[0] >= 0:
+            raise seams.Limited
+        return x
+
+    assert seams.patiently(call, 7, sleep=waits.append) == 7 and waits == [1, 2, 4]
+    left[0] = 99
+    with pytest.raises(seams.Limited):
+        seams.patiently(call, 7, sleep=waits.append)
+
+
+def test_settings_tokens_and_providers():
+    assert seams.Settings.read({"VECTOR_TOP_K": "9", "OXLINT_ENABLED": "no", "EFFORT": " "}) == seams.Settings(vector_top_k=9, oxlint_enabled=False)
+    with pytest.raises(ValueError, match="vector_top_k"):
+        seams.Settings.read({"VECTOR_TOP_K": "many"})
+    assert seams.token(None, "t") == "t" and seams.token(lambda: "x", "t") == "x"
+    with pytest.raises(ValueError):
+        seams.token(lambda: None, "t")
+    seams.register("forge-of-test", lambda x: x + 1)
+    assert seams.provider("forge-of-test", 1) == 2
+    with pytest.raises(KeyError):
+        seams.provider("none")
+    with pytest.raises(ValueError):
+        seams.register("forge-of-test", int)
+
+
+def test_rows_are_posted(spark, tmp_path):
+    def post(row):
+        (tmp_path / f"{row['id']}").write_text(row["body"])
+
+    spark.dataSource.register(seams.posting_sink(post, "posting_test"))
+    spark.createDataFrame([(1, "a"), (2, "b")], "id int, body string").write.format("posting_test").mode("append").save()
+    assert (tmp_path / "1").read_text() == "a" and (tmp_path / "2").read_text() == "b"
+
+
+def test_scalars_have_to_be_there(spark):
+    df = spark.createDataFrame([("x", "")], "a string, b string")
+    assert seams.scalar(df, "a") == "x"
+    with pytest.raises(ValueError):
+        seams.scalar(df, "b")
