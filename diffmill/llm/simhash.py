@@ -138,11 +138,18 @@ class Forest:
             self.links.append((a, b))
 
 
+def _cut_pairs(fps: np.ndarray, runs: list[list[int]]) -> int:
+    """The pairs that are left to compare, over all runs, if fingerprints meet only where they agree in a run."""
+    counts = (np.unique(fps & np.uint64(sum(1 << b for b in run)), return_counts=True)[1] for run in runs)
+    return sum(int((n.astype(np.int64) ** 2).sum()) for n in counts)
+
+
 def spanning_links(fps: np.ndarray, radius: int, free: list[int]) -> list[tuple[int, int]]:
     """Positions of linked fingerprints, as a spanning forest of all links. fps are distinct and may differ in the bits
-    of free only. Large sets are cut by ranges of those bits first, as within() compares each with each."""
+    of free only. Large sets are cut by ranges of those bits first, as within() compares each with each, but only where that
+    halves the pairs to compare: sets that lie close together agree in most ranges, and cutting would compare them ever again."""
     forest = Forest(len(fps))
-    if len(fps) <= 2 * HOT or len(free) <= radius + 1:
+    if len(fps) <= 2 * HOT or len(free) <= radius + 1 or 2 * _cut_pairs(fps, ranges(free, radius + 1)) > len(fps) ** 2:
         order = free or [0]
         for at in range(0, len(fps), BLOCK):
             block = fps[at : at + BLOCK]

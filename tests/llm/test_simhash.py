@@ -95,6 +95,22 @@ def test_large_sets_are_cut_without_loss(monkeypatch):
     assert len(cut) == len(whole) == len(fps) - len(set(spanned(len(fps), want)))
 
 
+def test_sets_are_cut_where_that_saves_comparisons(monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**64, 400, np.uint64)
+    near = [base ^ np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, (k, 400), np.uint64), axis=0) for k in (1, 2, 4, 6)]
+    spread, close = np.unique(np.concatenate([base, *near])), np.unique(base & np.uint64(2**12 - 1))
+    calls, whole = [], s.spanning_links
+    want = [(a, b) for a in range(len(spread)) for b in np.flatnonzero(np.bitwise_count(spread[a] ^ spread) <= 4).tolist() if a < b]
+    monkeypatch.setattr(s, "HOT", 16)
+    monkeypatch.setattr(s, "spanning_links", lambda *args: calls.append(1) or whole(*args))
+    assert spanned(len(spread), s.spanning_links(spread, 4, list(range(64)))) == spanned(len(spread), want) and len(calls) > 400
+    calls.clear()
+    links = s.spanning_links(close, 4, list(range(64)))
+    want = [(a, b) for a in range(len(close)) for b in np.flatnonzero(np.bitwise_count(close[a] ^ close) <= 4).tolist() if a < b]
+    assert spanned(len(close), links) == spanned(len(close), want) and len(calls) == 1
+
+
 def test_hot_keys_are_dealt_again(spark, monkeypatch):
     monkeypatch.setattr(s, "HOT", 5)
     rng = np.random.default_rng(7)
