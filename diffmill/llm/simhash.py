@@ -18,7 +18,7 @@ joins only what passes.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,8 @@ QUERIES, BLOCK = 64, 16_384
 #: Band keys of a text: BANDS keys of BAND_HASHES minimum hashes. A pair of Jaccard similarity s shares none with a
 #: probability of (1 - s ** BAND_HASHES) ** BANDS: 1.3e-7 at 0.8.
 BANDS, BAND_HASHES = 40, 5
+#: Shingles whose minimum hashes are taken at once.
+MIXED = 256
 _TABLE = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\v\f\r", bytes(range(97, 123)) + b"     ")
 
 
@@ -302,18 +304,27 @@ def node_of(words: list[bytes]) -> int:
     return int(np.array(xxhash.xxh64_intdigest(b" ".join(words), SEED + 1), np.uint64).view(np.int64)) if words else 0
 
 
+@cache
+def _permutations() -> tuple[np.ndarray, np.ndarray]:
+    """The masks and odd factors of all minimum hashes; a worker draws them once."""
+    masks, factors = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * BAND_HASHES), np.uint64)
+    return masks, factors | np.uint64(1)
+
+
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     """The keys of a set of hashes: two sets of Jaccard similarity s have the same key of a band with probability s ** BAND_HASHES."""
     import xxhash
 
     if not len(hashes):
         return np.empty(0, np.int64)
-    masks, factors = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * BAND_HASHES, 1), np.uint64)
-    factors |= np.uint64(1)
+    masks, factors = _permutations()
     least = np.full(BANDS * BAND_HASHES, 2**64 - 1, np.uint64)
-    for at in range(0, len(hashes), 1024):
-        mixed = (hashes[None, at : at + 1024] ^ masks) * factors
-        np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=1), out=least)
+    room = np.empty((min(len(hashes), MIXED), len(least)), np.uint64)  # small enough for a core's cache, and used again
+    for at in range(0, len(hashes), MIXED):
+        part = hashes[at : at + MIXED, None]
+        mixed = np.bitwise_xor(part, masks, out=room[: len(part)])
+        mixed *= factors
+        np.minimum(least, mixed.min(axis=0), out=least)
     rows = least.astype("<u8").reshape(BANDS, BAND_HASHES)
     return np.fromiter((xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(rows)), np.uint64, BANDS).view(np.int64)
 
