@@ -50,7 +50,7 @@ def unpacked(packed: bytes) -> Iterator[tuple[str, int]]:
     return zip(texts.decode().split("\0"), lengths, strict=True) if lengths else iter(())
 
 
-def _count(batches: Iterator[pa.RecordBatch], path: str, pattern: str | None, packed, over: int, key: str) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], path: str, pattern: str | None, packed, over: int, key: tuple) -> Iterator[pa.RecordBatch]:
     def make():
         return tokens.ByteCounter(path, pattern, unpacked(packed.value))
 
@@ -88,7 +88,7 @@ def token_counts(docs: DataFrame, tokenizer: str, pattern: str | None = None, ov
     use = None if tokenizer.endswith(".model") else pattern
     packed = spark.sparkContext.broadcast(frequent_lengths(tokenizer, use) if use else b"")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(partial(_count, path=tokenizer, pattern=use, packed=packed, over=over, key=tokenizer), SCHEMA)
+    return rows.mapInArrow(partial(_count, path=tokenizer, pattern=use, packed=packed, over=over, key=(tokenizer, use)), SCHEMA)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -43,6 +43,14 @@ def test_no_rows_and_sentencepiece(spark):
         token_counts.token_counts(docs, BYTE)
 
 
+def test_counters_are_kept_by_pattern(spark):
+    docs = spark.createDataFrame([(1, "it's we'll 12 345")], "doc_id long, text string").coalesce(1)
+    for pattern in (public_tokenizers.PATTERN, r"\S|\s"):
+        counter = tokens.ByteCounter(BYTE, pattern)
+        assert [r.n_tokens for r in token_counts.token_counts(docs, BYTE, pattern).collect()] == [counter.count("it's we'll 12 345")]
+    assert counter.count("it's we'll 12 345") == 17
+
+
 def test_first_tier_is_exact_and_bounded():
     table = dict(token_counts.unpacked(token_counts.frequent_lengths(BYTE, public_tokenizers.PATTERN)))
     tok = Tokenizer.from_file(BYTE)
