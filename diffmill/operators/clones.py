@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ast
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,23 +120,47 @@ def similar_pairs(sets: DataFrame, least: float = LEAST) -> DataFrame:
     return both.select("seq_a", "seq_b", (F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
-def greedy(pairs: DataFrame, group: str, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
+    """(g, u, v): the smallest node v that each other node u of a component reaches, of edges (g, u, v) with u > v. By alternating
+    stars: each round joins a node's neighbours to the smallest of them, so a group of many links is a star after the first."""
+    least = lambda e: e.groupBy("g", "u").agg(F.min("v").alias("m"))
+    while True:
+        low = least(edges)
+        small = edges.join(low, ["g", "u"]).where("v <> m").select("g", F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v")).distinct()
+        edges = written(small, "components")
+        # stars already: one link of each node, and to a node that has none itself
+        if edges.groupBy("g", "u").count().where("count > 1").isEmpty() and edges.join(edges.select("g", F.col("u").alias("v")), ["g", "v"], "left_semi").isEmpty():
+            return edges
+        both = edges.unionByName(edges.select("g", F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.join(least(both), ["g", "u"]).where("v > u").select("g", F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        edges = written(large, "components")
+
+
+def _walk(ends: tuple[str, str], keys: tuple[str, str]):
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Takes pairs whose ends are both free, in the order they come; of a component, only the ends in use are held."""
+        at, used = None, set()
+        for batch in batches:
+            taken = []
+            for key, a, b in zip(zip(*(batch.column(k).to_pylist() for k in keys)), *(batch.column(e).to_pylist() for e in ends)):
+                if key != at:
+                    at, used = key, set()
+                taken.append(a not in used and b not in used)
+                if taken[-1]:
+                    used.update((a, b))
+            yield batch.filter(pa.array(taken, pa.bool_()))
+
+    return walk
+
+
+def greedy(pairs: DataFrame, group: str) -> DataFrame:
     """Pairs in order of which each chunk is in one at most, by group: what is decided first shuts out what comes later.
 
-    In rounds over all groups at once: a pair that is the first one left at both its ends is taken, and pairs that share an end
-    with it go. That is what a walk in order takes, without a task that holds a group."""
-    columns = pairs.columns
-    left = written(pairs.withColumn("__pair", F.struct("seq_a", "seq_b")), "greedy-left")
-    taken = left.limit(0)
-    for _ in range(rounds):
-        if left.isEmpty():
-            return taken.select(*columns)
-        ends = left.select(group, "__pair", F.explode(F.array("seq_a", "seq_b")).alias("__end"))
-        first = ends.groupBy(group, "__end").agg(F.min("__pair").alias("__first"))
-        picked = written(first.groupBy(group, F.col("__first").alias("__pair")).agg(F.count(F.lit(1)).alias("n")).where("n = 2").drop("n"), "greedy-picked")
-        taken = taken.unionByName(left.join(picked, [group, "__pair"], "left_semi").select(*left.columns))
-        used = picked.select(group, F.explode(F.array("__pair.seq_a", "__pair.seq_b")).alias("__used"))
-        for end in ("seq_a", "seq_b"):
-            left = left.join(used.withColumnRenamed("__used", end), [group, end], "left_anti")
-        left = written(left.select(*taken.columns), "greedy-left")
-    raise RuntimeError(f"pairs did not settle in {rounds} rounds")
+    Components of linked chunks are independent of each other, so each is walked in order by one task, which reads its sorted
+    pairs as a stream. Rounds over all pairs at once would be half as many as the largest group of copies has members."""
+    pairs = written(pairs.where("seq_a <> seq_b"), "greedy-pairs")
+    top = F.greatest("seq_a", "seq_b")
+    roots = components(pairs.select(F.col(group).alias("g"), top.alias("u"), F.least("seq_a", "seq_b").alias("v")))
+    rows = pairs.withColumn("__top", top).join(roots.select(F.col("g").alias(group), F.col("u").alias("__top"), F.col("v").alias("__root")), [group, "__top"])
+    rows = rows.select(*pairs.columns, "__root").repartition(group, "__root").sortWithinPartitions(group, "__root", "seq_a", "seq_b")
+    return rows.mapInArrow(_walk(("seq_a", "seq_b"), (group, "__root")), rows.schema).select(*pairs.columns)

@@ -96,6 +96,27 @@ def test_greedy_pairs_use_each_once(spark):
     assert sorted((r.seq_a, r.seq_b) for r in clones.greedy(pairs, "pr").collect()) == [(1, 2), (3, 4)]
 
 
+def test_greedy_pairs_settle_in_a_large_group_of_copies(spark):
+    import random
+
+    def walked(pairs):
+        used, out = set(), set()
+        for g, a, b in sorted(pairs):
+            if not {(g, a), (g, b)} & used:
+                used |= {(g, a), (g, b)}
+                out.add((g, a, b))
+        return out
+
+    rng = random.Random(3)
+    copies = [(1, a, b) for a in range(250) for b in range(a + 1, 250)]
+    chain = [(1, a, a + 1) for a in range(1000, 1400)] + [(2, a, a + 3) for a in range(100)]
+    other = sorted({(2, *sorted(rng.sample(range(500, 700), 2))) for _ in range(400)})
+    pairs = copies + chain + other
+    rng.shuffle(pairs)
+    got = clones.greedy(spark.createDataFrame(pairs, "pr int, seq_a int, seq_b int"), "pr").collect()
+    assert len(got) == len({tuple(r) for r in got}) and {tuple(r) for r in got} == walked(pairs)
+
+
 def test_python_clones_up_to_names(spark):
     df = spark.createDataFrame([("def f(a):\n return a + 1",), ("def g(b):\n return b + 1",), ("def g(b):\n return b + 2",), ("def (",)], "t string").select(clones.python_alpha_hash("t").alias("h"))
     h = [r.h for r in df.collect()]
