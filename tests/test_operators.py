@@ -139,6 +139,33 @@ def test_nearest_has_no_score_for_zero_vectors(spark):
     assert [(r.vec_id, round(r.score, 6)) for r in got] == [(3, 1.0)]
 
 
+def test_nearest_in_blocks_against_all_pairs(spark, monkeypatch):
+    import math
+    import random
+
+    rng = random.Random(5)
+    vectors = [[float(rng.randrange(-2, 3)) for _ in range(6)] for _ in range(40)]
+    items = [(i, f"r{i % 2}", f"p{i % 5}", f"h{i % 90}", rng.choice(vectors)) for i in range(300)]
+    items += [(300, "r0", "p9", "x", [0.0] * 6), (301, "r0", "p9", "y", [1.0, 2.0]), (302, "r0", "p9", "z", None), (303, "r0", "p9", "w", [1.0, None, 0.0, 0.0, 0.0, 0.0]), (304, "r0", None, "v", vectors[0]), (305, None, "p9", "u", vectors[0])]
+    df = spark.createDataFrame(items, "vec_id int, repo_id string, path string, content_hash string, embedding array<float>")
+    queries = [x for x in items if x[0] % 10 == 0]
+    whole = lambda v: bool(v) and None not in v and any(v)
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b)))
+    want = []
+    for q in queries:
+        near = [(-cos(q[4], c[4]), c[0]) for c in items if whole(q[4]) and whole(c[4]) and len(q[4]) == len(c[4]) and c[1] == q[1] and c[2] and c[2] != q[2] and c[3] != q[3]]
+        want += [(q[0], v, r, round(-s, 9)) for r, (s, v) in enumerate(sorted(near)[:5], 1)]
+    for size in (similarity.BLOCK, 300):  # one block, and many
+        monkeypatch.setattr(similarity, "BLOCK", size)
+        got = similarity.nearest(df.where("vec_id % 10 = 0"), df)
+        assert sorted((r.query_id, r.vec_id, r.rank, round(r.score, 9)) for r in got.collect()) == sorted(want)
+
+
+def test_nearest_meets_vectors_in_blocks_and_not_in_a_join_of_all_pairs(spark):
+    df = spark.createDataFrame([(i, "r", f"p{i}", f"h{i}", [1.0, float(i)]) for i in range(4)], "vec_id int, repo_id string, path string, content_hash string, embedding array<float>")
+    assert "FlatMapCoGroupsInArrow" in similarity.nearest(df, df)._jdf.queryExecution().toString()
+
+
 def test_replies_in_all_forms():
     assert [x["line"] for x in replies.parsed('<reasoning>[L10]</reasoning>[{"line": 10}, {"line": 11}, {"line": 25}]')] == [10, 11, 25]
     assert replies.parsed("") == replies.parsed(None) == replies.parsed("[]") == []
