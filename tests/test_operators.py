@@ -166,6 +166,16 @@ def test_nearest_meets_vectors_in_blocks_and_not_in_a_join_of_all_pairs(spark):
     assert "FlatMapCoGroupsInArrow" in similarity.nearest(df, df)._jdf.queryExecution().toString()
 
 
+def test_best_matches_come_from_the_search_in_blocks(spark, monkeypatch):
+    from diffmill.plans import registry
+
+    query = registry.queries()["K3_A15_best_matches"]
+    whole = query(spark, "/root/testdata/sf0.001")
+    assert "FlatMapCoGroupsInArrow" in whole._jdf.queryExecution().toString()
+    monkeypatch.setattr(similarity, "BLOCK", 1000)
+    assert sorted(map(tuple, query(spark, "/root/testdata/sf0.001").collect())) == sorted(map(tuple, whole.collect()))
+
+
 def test_replies_in_all_forms():
     assert [x["line"] for x in replies.parsed('<reasoning>[L10]</reasoning>[{"line": 10}, {"line": 11}, {"line": 25}]')] == [10, 11, 25]
     assert replies.parsed("") == replies.parsed(None) == replies.parsed("[]") == []
