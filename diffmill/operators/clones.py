@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ast
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +18,10 @@ from diffmill.tables import written
 TOKENS = r"[\p{L}_][\p{L}\p{N}_]*|\p{N}+|[^\s\p{L}\p{N}_]"
 SHINGLE, LEAST = 5, 0.8
 LEAST_LINES, LEAST_TOKENS = 3, 20
+#: Common shingles are in OFTEN texts or more of every SAMPLE-th text; COMMON of them at most are told. Shingles of a side of a cell.
+SAMPLE, OFTEN, COMMON, CELL = 16, 4, 1 << 20, 1 << 22
+#: Shared shingles that a candidate needs: MET, and one more for each MET_EACH of a set. SLACK keeps products of fractions from rounding up.
+MET, MET_EACH, SLACK = 4, 32, 1e-9
 
 
 def content_hash(text: Column) -> Column:
@@ -83,7 +89,7 @@ def shingle_sets(chunks: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(seq, path, hashes, n): the set of 64-bit hashes of a text's shingles of k tokens, and its size; shorter texts have none.
     Shingles are zipped from shifted slices of the tokens in the row itself: no shuffle, no sort."""
     rows = chunks.select("seq", "path", tokens(F.col("text")).alias("t")).where(F.size("t") >= k)
-    shifted = [F.slice("t", F.lit(i + 1), F.size("t") - (k - 1)).alias(f"t{i}") for i in range(k)]
+    shifted = [F.slice("t", F.lit(i + 1), F.greatest(F.size("t") - (k - 1), F.lit(0))).alias(f"t{i}") for i in range(k)]
     hashes = F.array_distinct(F.transform(F.arrays_zip(*shifted), lambda x: F.xxhash64(*(x[f"t{i}"] for i in range(k)))))
     return rows.select("seq", "path", hashes.alias("hashes")).withColumn("n", F.size("hashes"))
 
@@ -93,31 +99,85 @@ def shingles(chunks: DataFrame, k: int = SHINGLE) -> DataFrame:
     return shingle_sets(chunks, k).select("seq", "path", F.explode("hashes").alias("shingle"))
 
 
+def _heads(least: float, common: np.ndarray):
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shingles of each set that come first in the order: those not common before common ones, then by hash. So many that a
+        similar set has MET + n // MET_EACH of them among its own."""
+        for batch in batches:
+            flat, ends = batch.column("hashes").flatten().to_numpy(zero_copy_only=False), np.cumsum(batch.column("n").to_numpy())
+            seen = common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] == flat if len(common) else np.zeros(len(flat), bool)
+            first, sizes = [np.zeros(0, "int64")], []
+            for start, end in zip(np.r_[0, ends[:-1]], ends):
+                n = int(end - start)
+                alike = math.ceil(least * n - SLACK)
+                most = n - alike + min(alike, MET + n // MET_EACH)
+                sizes.append(min(n, most))
+                own = flat[start:end]
+                first.append(own[np.lexsort((own, seen[start:end]))[:most]])
+            rows = batch.select(["text_id", "n", "path"]).take(pa.array(np.repeat(np.arange(batch.num_rows), sizes)))
+            for at in range(0, rows.num_rows, 1 << 16):
+                part = rows.slice(at, 1 << 16)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)[at : at + (1 << 16)]), *part.columns], ["shingle", "text_id", "n", "path"])
+
+    return heads
+
+
+def _checked(least: float):
+    def checked(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        """Similarities of a cell's pairs, exactly, on the sets that they are of."""
+        of = {i: np.sort(x.values.to_numpy(zero_copy_only=False)) for i, x in zip(sets.column("text_id").to_pylist(), sets.column("hashes"))}
+        out = []
+        for x, y in zip(pairs.column("text_a").to_pylist(), pairs.column("text_b").to_pylist()):
+            both = len(np.intersect1d(of[x], of[y], assume_unique=True))
+            out.append(both / (len(of[x]) + len(of[y]) - both))
+        found = pairs.select(["text_a", "text_b"]).append_column("jaccard", pa.array(out, pa.float64()))
+        return found.filter(pa.array([j >= least for j in out], pa.bool_()))
+
+    return checked
+
+
 def similar_pairs(sets: DataFrame, least: float = LEAST) -> DataFrame:
     """Pairs (seq_a < seq_b) of different paths with a Jaccard similarity of least or more, of sets as shingle_sets gives them,
     or of distinct rows as shingles does.
 
-    By prefix filter: ordered from the rarest shingle on, two sets that similar share one of their first
-    n - ceil(least * n) + 1. So common shingles, whose pairs would grow with the square of their documents, are hardly ever
-    joined; candidates are then checked exactly on the sets. Shingles of one document alone come first in its order and match
-    nothing, so only shared ones are ordered, and the place of those is counted from the end."""
+    By prefix filter: in any one order of all shingles, two sets that similar share m of their first n - ceil(least * n) + m. The
+    order is by hash, with common shingles last, as their pairs would grow with the square of their documents. Which ones are common
+    is told from every SAMPLE-th text: that decides what the order costs, and not what it finds. Equal sets are one text, and are
+    expanded into pairs of rows only in the result. So of each set only the first shingles are shuffled, and of texts with a
+    candidate the sets, once for each cell of pairs that has them. Sets are made anew for each step, as they are larger than their texts."""
     if "hashes" not in sets.columns:
-        sets = sets.groupBy("seq", "path").agg(F.collect_list("shingle").alias("hashes"), F.count(F.lit(1)).cast("int").alias("n"))
-    sets = written(sets, "clone-sets")
-    rows = sets.select("seq", "path", "n", F.explode("hashes").alias("shingle"))
-    df = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = rows.join(df.hint("merge"), "shingle")
-    w = Window.partitionBy("seq").orderBy("df", "shingle")
-    # from the end: the shared shingles after this one, which are its set's last ones
-    after = F.count(F.lit(1)).over(Window.partitionBy("seq")) - F.row_number().over(w)
-    head = written(shared.withColumn("after", after).where(F.col("after") >= F.ceil(F.lit(least) * F.col("n")) - 1).select("shingle", "seq", "path", "n"), "clone-heads")
-    a, b = head.alias("a"), head.alias("b")
-    near = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.seq") < F.col("b.seq")) & (F.col("a.path") != F.col("b.path")) & (F.least("a.n", "b.n") >= F.lit(least) * F.greatest("a.n", "b.n"))
-    pairs = written(a.join(b, near).select(F.col("a.seq").alias("seq_a"), F.col("b.seq").alias("seq_b")).distinct(), "clone-pairs")
-    left = pairs.join(sets.select(F.col("seq").alias("seq_a"), F.col("hashes").alias("p"), F.col("n").alias("n_a")), "seq_a")
-    both = left.join(sets.select(F.col("seq").alias("seq_b"), F.col("hashes").alias("q"), F.col("n").alias("n_b")), "seq_b")
-    both = both.select("seq_a", "seq_b", "n_a", "n_b", F.size(F.array_intersect("p", "q")).alias("both"))
-    return both.select("seq_a", "seq_b", (F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("jaccard")).where(F.col("jaccard") >= least)
+        sets = written(sets.groupBy("seq", "path").agg(F.array_sort(F.collect_list("shingle")).alias("hashes"), F.count(F.lit(1)).cast("int").alias("n")), "clone-sets")
+    sets = sets.withColumn("text_id", F.xxhash64("hashes"))
+    rows = sets.where(F.pmod("text_id", F.lit(SAMPLE)) == 0).select(F.explode("hashes").alias("shingle"))
+    common = rows.groupBy("shingle").count().where(F.col("count") >= OFTEN).orderBy(F.col("count").desc(), "shingle").limit(COMMON).select("shingle").toPandas()["shingle"]
+    common = np.sort(common.to_numpy("int64"))
+    heads = sets.select("text_id", "n", "path", "hashes").mapInArrow(_heads(least, common), "shingle long, text_id long, n int, path string")
+    # dealt by shingle once, for the texts of a shingle and for the join
+    texts = heads.repartition("shingle").groupBy("shingle", "text_id", "n").agg(F.min("path").alias("low"), F.max("path").alias("high"))
+    a, b = texts.alias("a"), texts.alias("b")
+    near = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.text_id") < F.col("b.text_id")) & (F.least("a.n", "b.n") >= F.lit(least) * F.greatest("a.n", "b.n") - SLACK)
+    near = near & ((F.col("a.low") != F.col("b.high")) | (F.col("a.high") != F.col("b.low")))
+    smaller = F.least("a.n", "b.n")
+    met = a.join(b, near).select(F.col("a.text_id").alias("text_a"), F.col("b.text_id").alias("text_b"), F.least(F.ceil(smaller * least - SLACK), MET + F.floor(smaller / MET_EACH)).alias("need"))
+    pairs = written(met.groupBy("text_a", "text_b").agg(F.count(F.lit(1)).alias("both"), F.min("need").alias("need")).where("both >= need").select("text_a", "text_b"), "clone-pairs")
+    rows = written(sets.select("text_id", "seq", "path", "n"), "clone-rows")
+    used = pairs.select(F.explode(F.array("text_a", "text_b")).alias("text_id")).distinct()
+    used = rows.groupBy("text_id").agg(F.min("seq").alias("seq"), F.max("n").alias("n")).join(used, "text_id")
+    used = written(used.select("text_id", "seq", "n"), "clone-used")
+    size, n_used = used.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    side = max(1, -(-size // CELL))
+    cell = lambda x: F.pmod(F.xxhash64(F.lit(1), x), F.lit(side)).cast("int")
+    pairs = pairs.withColumns({"i": cell(F.col("text_a")), "j": cell(F.col("text_b"))})
+    places = pairs.select(F.explode(F.array("text_a", "text_b")).alias("text_id"), F.col("i").alias("si"), F.col("j").alias("sj")).distinct()
+    wanted = used.select("text_id", "seq")
+    own = written(sets.join(F.broadcast(wanted) if n_used <= COMMON else wanted, ["text_id", "seq"]).select("text_id", "hashes"), "clone-sets")
+    links = pairs.groupBy("i", "j").cogroup(places.join(own, "text_id").groupBy("si", "sj")).applyInArrow(_checked(least), "text_a long, text_b long, jaccard double")
+    links = written(links, "clone-links")
+    copies = rows.groupBy("text_id").agg(F.min("path").alias("low"), F.max("path").alias("high")).where("low <> high")
+    links = links.unionByName(copies.select(F.col("text_id").alias("text_a"), F.col("text_id").alias("text_b"), F.lit(1.0).alias("jaccard")))
+    x, y = (rows.select(F.col("text_id").alias(f"text_{e}"), F.col("seq").alias(f"s{e}"), F.col("path").alias(f"p{e}")) for e in "ab")
+    found = links.join(x, "text_a").join(y, "text_b").where("pa <> pb AND (text_a <> text_b OR sa < sb)")
+    return found.select(F.least("sa", "sb").alias("seq_a"), F.greatest("sa", "sb").alias("seq_b"), "jaccard")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -101,6 +101,34 @@ def test_similar_pairs_against_all_pairs(spark):
     assert {(r.seq_a, r.seq_b) for r in clones.similar_pairs(clones.shingles(df)).collect()} == want and want
 
 
+def test_copies_are_expanded_in_the_result_alone(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(80)]
+    texts = [" ".join(base)] * 40
+    for i in range(40):
+        words = [f"t{i}_{j}" for j in range(rng.randrange(20, 60))] + base[: rng.randrange(40)]
+        texts += [" ".join(words), " ".join([*words[:-1], "x"])]
+    for i in range(20):
+        words = list(base)
+        words[rng.randrange(80)] = f"w{i}"
+        texts.append(" ".join(words))
+    items = [(f"p{i % 3}", i, t) for i, t in enumerate([*texts, "a b c", "a b c d e", "a b c d e", ""])]
+    sets = {s: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for _, s, t in items}
+    want = {(a, b) for pa, a, _ in items for pb, b, _ in items if a < b and pa != pb and sets[a] & sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    seen = {}
+    kept = clones.written
+    monkeypatch.setattr(clones, "written", lambda df, name: seen.setdefault(name, kept(df, name)))
+    for sample, cell in ((16, 1 << 22), (1, 200)):  # no common shingles and one cell; many of both
+        seen.clear()
+        monkeypatch.setattr(clones, "SAMPLE", sample)
+        monkeypatch.setattr(clones, "CELL", cell)
+        got = clones.similar_pairs(clones.shingle_sets(spark.createDataFrame(items, "path string, seq long, text string"))).collect()
+        assert len(got) == len(want) and {(r.seq_a, r.seq_b) for r in got} == want
+        assert seen["clone-pairs"].count() < 300 < len(want)
+
+
 def test_greedy_pairs_use_each_once(spark):
     pairs = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 3, 4), (1, 1, 4)], "pr int, seq_a int, seq_b int")
     assert sorted((r.seq_a, r.seq_b) for r in clones.greedy(pairs, "pr").collect()) == [(1, 2), (3, 4)]
