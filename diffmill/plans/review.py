@@ -46,9 +46,9 @@ def _reviewed_inputs(s, sf):
     tools = rows.where("turn = 0").withColumns({"check_id": F.expr("IF(seq % 3 = 0, 'x.secret', 'x.rule')"), "severity": F.expr("IF(seq % 2 = 0, 'ERROR', 'INFO')")}).drop("impact", "certainty", "category")
     tools = tools.withColumns({"impact": F.lit(""), "certainty": F.lit(""), "category": F.lit("")})
     candidates = rows.where("turn IN (1, 2)").withColumn("critic_exempt", F.lit(False))
-    verdicts = candidates.selectExpr("review_id", "path", "seq AS idx", "IF(seq % 3 = 0, 'drop', 'keep') AS verdict", "IF(seq % 4 = 0, 'LOW', NULL) AS impact", "CAST(NULL AS STRING) AS certainty").distinct()
+    verdicts = candidates.selectExpr("review_id", "path", "seq AS idx", "IF(seq % 3 = 0, 'drop', 'keep') AS verdict", "IF(seq % 4 = 0, 'LOW', NULL) AS impact", "CAST(NULL AS STRING) AS certainty")
     clones = rows.where("turn = 3").withColumns({"critic_exempt": F.lit(True), "category": F.lit("design")})
-    return tools, candidates.dropDuplicates(["review_id", "path", "seq"]), verdicts, clones, rows.where("turn = 4").withColumn("critic_exempt", F.lit(False))
+    return tools, candidates, verdicts, clones, rows.where("turn = 4").withColumn("critic_exempt", F.lit(False))
 
 
 CHAIN = f"""rw AS (SELECT *, CAST(substr(path, 2) AS BIGINT) // 7 AS review_id, seq % 5 AS turn FROM fd),
