@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -227,6 +228,47 @@ def test_best_matches_come_from_the_search_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, query(spark, "/root/testdata/sf0.001").collect())) == sorted(map(tuple, whole.collect()))
 
 
+def test_vectors_are_shuffled_by_block_and_not_by_repository(spark):
+    from diffmill.plans import registry
+
+    plan = registry.queries()["K3_A15_best_matches"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan) if "dim#" in x]
+    assert len(dealt) == 2 and all("qb#" in x and "cb#" in x for x in dealt)
+    assert "SortMergeJoin" not in plan
+
+
+def test_best_of_a_block_with_copies_and_odd_vectors(monkeypatch):
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    vectors = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(60)]
+    vectors += [[x + 1e-9 * rng.gauss(0, 1) for x in vectors[0]] for _ in range(20)]
+    vectors += [[0.0] * 8, [float("nan")] * 8, [float("inf")] + [1.0] * 7, [x * 1e-140 for x in vectors[1]], [x * 1e140 for x in vectors[2]]]
+    items = [(i, rng.choice(["p0", "p1", "p2", None]), f"h{rng.randrange(90)}", rng.choice(vectors)) for i in range(400)]
+    names = ("vec_id", "path", "content_hash", "embedding")
+    chunks = pa.table({n: [x[i] for x in items] for i, n in enumerate(names)}).append_column("repo_id", pa.array(["r"] * 400))
+    queries = pa.table({n: [x[i] for x in items[::3]] for i, n in enumerate(("query_id", "q_path", "q_hash", "q"))})
+    with np.errstate(all="ignore"):
+        m = np.array([x[3] for x in items])
+        norms = np.sqrt(similarity._dots(m, m))
+        for others in (True, False):
+            want = []
+            for q in items[::3]:
+                product = norms[q[0]] * norms
+                score = similarity._dots(np.repeat(m[q[0]][None], 400, 0), m) / product
+                near = [x for x in items if product[x[0]] != 0 and not (others and (q[1] is None or x[1] in (None, q[1]) or x[2] == q[2]))]
+                best = sorted(near, key=lambda x: (not np.isnan(score[x[0]]), 0 if np.isnan(score[x[0]]) else -score[x[0]], x[0]))[:5]
+                want += [(q[0], x[0], repr(float(score[x[0]]))) for x in best]
+            for groups, scores in ((256, 1 << 20), (20, 1000)):
+                monkeypatch.setattr(similarity, "GROUPS", groups)
+                monkeypatch.setattr(similarity, "SCORES", scores)
+                got = similarity._best(5, others)(queries, chunks).to_pylist()
+                assert sorted((x["query_id"], x["vec_id"], repr(x["score"])) for x in got) == sorted(want)
+
+
 def test_replies_in_all_forms():
     assert [x["line"] for x in replies.parsed('<reasoning>[L10]</reasoning>[{"line": 10}, {"line": 11}, {"line": 25}]')] == [10, 11, 25]
     assert replies.parsed("") == replies.parsed(None) == replies.parsed("[]") == []
