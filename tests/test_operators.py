@@ -269,6 +269,21 @@ def test_best_of_a_block_with_copies_and_odd_vectors(monkeypatch):
                 assert sorted((x["query_id"], x["vec_id"], repr(x["score"])) for x in got) == sorted(want)
 
 
+def test_few_of_a_large_group_of_copies_are_scored(monkeypatch):
+    import pyarrow as pa
+
+    vectors = [[1.0, 0.5]] * 2000 + [[1.0, 0.1]] * 20
+    chunks = pa.table({"vec_id": range(2020), "path": [f"p{i % 3}" for i in range(2020)], "content_hash": [f"h{i if i % 2 else i % 8}" for i in range(2020)], "embedding": vectors, "repo_id": ["r"] * 2020})
+    queries = pa.table({"query_id": range(40), "q_path": [f"p{i % 3}" for i in range(40)], "q_hash": [f"h{i if i % 2 else i % 8}" for i in range(40)], "q": vectors[:40]})
+    scored, dots = [], similarity._dots
+    monkeypatch.setattr(similarity, "_dots", lambda a, b: scored.append(len(a)) or dots(a, b))
+    got = similarity._best(5, True)(queries, chunks).to_pylist()
+    items = chunks.to_pylist()
+    want = [(q["query_id"], v) for q in queries.to_pylist() for v in [x["vec_id"] for x in items if x["path"] != q["q_path"] and x["content_hash"] != q["q_hash"]][:5]]
+    assert sorted((x["query_id"], x["vec_id"]) for x in got) == sorted(want)
+    assert sum(scored) < 2020 + 40 + 40 * 100
+
+
 def test_replies_in_all_forms():
     assert [x["line"] for x in replies.parsed('<reasoning>[L10]</reasoning>[{"line": 10}, {"line": 11}, {"line": 25}]')] == [10, 11, 25]
     assert replies.parsed("") == replies.parsed(None) == replies.parsed("[]") == []
