@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import ast
+import functools
 import math
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +26,8 @@ LEAST_LINES, LEAST_TOKENS = 3, 20
 SAMPLE, OFTEN, COMMON, CELL = 16, 4, 1 << 20, 1 << 22
 #: Shared shingles that a candidate needs: MET, and one more for each MET_EACH of a set. SLACK keeps products of fractions from rounding up.
 MET, MET_EACH, SLACK = 4, 32, 1e-9
+#: Bytes of text that are hashed at once, or shingles that are compared; rows of a text in a part of the result's last join.
+PART, ROWS = 1 << 18, 256
 
 
 def content_hash(text: Column) -> Column:
@@ -85,13 +91,83 @@ def flagged(chunks: DataFrame, key: str) -> DataFrame:
     return chunks.join(first, key).where("seq <> first_seq")
 
 
+@functools.cache
+def _kinds() -> np.ndarray:
+    """What TOKENS takes a code point for, as the SQL does (Unicode 15.0, no vertical tab in \\s): 0 white space, 1 letter or _, 2 number, 3 other."""
+    kinds = np.array([{"L": 1, "N": 2}.get(unicodedata.category(chr(i))[0], 3) for i in range(sys.maxunicode + 1)], "uint8")
+    kinds[0x2EBF0:0x2EE5E] = 3
+    kinds[ord("_")] = 1
+    kinds[[ord(c) for c in "\t\n\f\r "]] = 0
+    return kinds
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit words, mixed in place one to one."""
+    x += np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def _shingled(texts: list[bytes | None], k: int) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles of k tokens. Tokens are those of TOKENS, found and hashed for all texts at once:
+    a token is the sum of its mixed (place, code point)."""
+    texts = [(x or b"").decode("utf-8", "replace") for x in texts]
+    ends = np.cumsum([len(x) + 1 for x in texts])
+    points = np.frombuffer(" ".join([*texts, ""]).encode("utf-32-le"), "uint32")
+    kind = _kinds()[points]
+    before = np.r_[np.uint8(0), kind[:-1]]
+    word, number = kind == 1, kind == 2
+    first = number & (before != 2)
+    if first.any():
+        # numbers after a letter are of its word, and what follows them too
+        inside = number & (before[first] == 1)[np.maximum(np.cumsum(first) - 1, 0)]
+        word |= inside
+        first &= ~inside
+    start = np.flatnonzero((kind == 3) | first | (word & ~np.r_[False, word[:-1]]))
+    if len(start) < k:
+        return [np.zeros(0, "int64")] * len(texts)
+    place = np.arange(start[0], len(points)) - np.repeat(start, np.diff(start, append=len(points)))
+    x = _mixed((place.astype("uint64") << np.uint64(21)) | points[start[0] :])
+    x[kind[start[0] :] == 0] = 0
+    token = np.add.reduceat(x, start - start[0])
+    hashes = np.zeros(len(token) - k + 1, "uint64")
+    for i in range(k):
+        hashes += token[i : i + len(hashes)]
+        _mixed(hashes)
+    hashes, out = hashes.view("int64"), []
+    bounds = np.searchsorted(start, np.r_[0, ends])
+    for low, high in zip(bounds[:-1], bounds[1:]):
+        own = np.sort(hashes[low : max(low, high - k + 1)])
+        kept = np.ones(len(own), bool)
+        np.not_equal(own[1:], own[:-1], out=kept[1:])
+        out.append(own[kept])
+    return out
+
+
+def _sets(k: int):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            part = np.cumsum([len(x or b"") for x in texts]) // PART
+            cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(texts)]
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                found = _shingled(texts[low:high], k)
+                n = np.array([len(x) for x in found], "int32")
+                kept = pa.array(np.flatnonzero(n) + low)
+                hashes = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n[n > 0])], pa.int32()), pa.array(np.concatenate([np.zeros(0, "int64"), *found])))
+                yield pa.RecordBatch.from_arrays([batch.column("seq").take(kept), batch.column("path").take(kept), hashes, pa.array(n[n > 0])], ["seq", "path", "hashes", "n"])
+
+    return sets
+
+
 def shingle_sets(chunks: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(seq, path, hashes, n): the set of 64-bit hashes of a text's shingles of k tokens, and its size; shorter texts have none.
-    Shingles are zipped from shifted slices of the tokens in the row itself: no shuffle, no sort."""
-    rows = chunks.select("seq", "path", tokens(F.col("text")).alias("t")).where(F.size("t") >= k)
-    shifted = [F.slice("t", F.lit(i + 1), F.greatest(F.size("t") - (k - 1), F.lit(0))).alias(f"t{i}") for i in range(k)]
-    hashes = F.array_distinct(F.transform(F.arrays_zip(*shifted), lambda x: F.xxhash64(*(x[f"t{i}"] for i in range(k)))))
-    return rows.select("seq", "path", hashes.alias("hashes")).withColumn("n", F.size("hashes"))
+    """(seq, path, hashes, n): the sorted set of 64-bit hashes of a text's shingles of k tokens, and its size; shorter texts have none.
+    Texts are hashed by columns of code points, many texts at once: no shuffle, and no token is made on its own."""
+    schema = T.StructType([chunks.schema["seq"], chunks.schema["path"], T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("n", T.IntegerType())])
+    return chunks.select("seq", "path", "text").mapInArrow(_sets(k), schema)
 
 
 def shingles(chunks: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -105,79 +181,154 @@ def _heads(least: float, common: np.ndarray):
         similar set has MET + n // MET_EACH of them among its own."""
         for batch in batches:
             flat, ends = batch.column("hashes").flatten().to_numpy(zero_copy_only=False), np.cumsum(batch.column("n").to_numpy())
-            seen = common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] == flat if len(common) else np.zeros(len(flat), bool)
-            first, sizes = [np.zeros(0, "int64")], []
+            first = [np.zeros(0, "int64")]
             for start, end in zip(np.r_[0, ends[:-1]], ends):
                 n = int(end - start)
                 alike = math.ceil(least * n - SLACK)
-                most = n - alike + min(alike, MET + n // MET_EACH)
-                sizes.append(min(n, most))
-                own = flat[start:end]
-                first.append(own[np.lexsort((own, seen[start:end]))[:most]])
-            rows = batch.select(["text_id", "n", "path"]).take(pa.array(np.repeat(np.arange(batch.num_rows), sizes)))
-            for at in range(0, rows.num_rows, 1 << 16):
-                part = rows.slice(at, 1 << 16)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)[at : at + (1 << 16)]), *part.columns], ["shingle", "text_id", "n", "path"])
+                own = np.sort(flat[start:end])
+                if len(common):
+                    seen = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
+                    own = np.concatenate([own[~seen], own[seen]])
+                first.append(own[: n - alike + min(alike, MET + n // MET_EACH)])
+            offsets = np.cumsum([len(x) for x in first])
+            values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(first)))
+            yield pa.RecordBatch.from_arrays([*batch.select(["text_id", "seq", "path", "n"]).columns, values], ["text_id", "seq", "path", "n", "heads"])
 
     return heads
 
 
+def _met(least: float):
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(text_a, text_b, both, need) of a partition that is dealt by shingle, texts of a shingle with each other; counts are summed
+        for up to CELL pairs at once. A partition has about CELL rows at most."""
+        names = ["shingle", "text_id", "n", "only"]
+        held = pa.Table.from_batches([x.select(names) for x in batches] or [pa.RecordBatch.from_pylist([], pa.schema([(x, pa.int64()) for x in names]))])
+        shingle = held.column("shingle").to_numpy()
+        order = np.argsort(shingle, kind="stable")
+        shingle = shingle[order]
+        new = np.ones(len(shingle) + 1, bool)
+        np.not_equal(shingle[1:], shingle[:-1], out=new[1:-1])
+        shared = ~(new[:-1] & new[1:])
+        held, new = held.take(pa.array(order[shared])), new[:-1][shared]
+        texts, text = np.unique(held.column("text_id").to_numpy(), return_inverse=True)
+        n, one = held.column("n").to_numpy().astype("int64"), held.column("only").is_valid().to_numpy()
+        only = held.column("only").fill_null(0).to_numpy()
+        sizes = np.zeros(len(texts), "int64")
+        sizes[text] = n
+        ends = np.r_[np.flatnonzero(new)[1:], len(new)]
+        end = np.repeat(ends, np.diff(np.r_[0, ends])) if len(new) else np.zeros(0, "int64")
+
+        def counted(found: list[np.ndarray]) -> pa.RecordBatch:
+            keys, both = np.unique(np.concatenate(found), return_counts=True)
+            low, high = keys >> 32, keys & 0xFFFFFFFF
+            smaller = np.minimum(sizes[low], sizes[high])
+            need = np.minimum(np.ceil(smaller * least - SLACK).astype("int64"), MET + smaller // MET_EACH)
+            return pa.RecordBatch.from_arrays([pa.array(texts[low]), pa.array(texts[high]), pa.array(both), pa.array(need)], ["text_a", "text_b", "both", "need"])
+
+        found, total, step, at = [], 0, 0, np.arange(len(new))
+        while len(at := at[at + (step := step + 1) < end[at]]):
+            for x in np.array_split(at, -(-len(at) // CELL)):
+                y = x + step
+                x, y = x[kept := (np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]) - SLACK) & ~(one[x] & one[y] & (only[x] == only[y]))], y[kept]
+                found.append(np.minimum(text[x], text[y]) << 32 | np.maximum(text[x], text[y]))
+                total += len(x)
+                if total > CELL:
+                    yield counted(found)
+                    found, total = [], 0
+        if total:
+            yield counted(found)
+
+    return met
+
+
 def _checked(least: float):
     def checked(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        """Similarities of a cell's pairs, exactly, on the sets that they are of."""
-        of = {i: np.sort(x.values.to_numpy(zero_copy_only=False)) for i, x in zip(sets.column("text_id").to_pylist(), sets.column("hashes"))}
-        out = []
-        for x, y in zip(pairs.column("text_a").to_pylist(), pairs.column("text_b").to_pylist()):
-            both = len(np.intersect1d(of[x], of[y], assume_unique=True))
-            out.append(both / (len(of[x]) + len(of[y]) - both))
-        found = pairs.select(["text_a", "text_b"]).append_column("jaccard", pa.array(out, pa.float64()))
-        return found.filter(pa.array([j >= least for j in out], pa.bool_()))
+        """Similarities of a cell's pairs, exactly, on the sets that they are of: a set is marked once, and all its partners are counted together."""
+        sets = sets.combine_chunks().sort_by("text_id")
+        ids, hashes = sets.column("text_id").to_numpy(), sets.column("hashes").combine_chunks()
+        sizes = pc.list_value_length(hashes).to_numpy(zero_copy_only=False).astype("int64")
+        starts = np.cumsum(sizes) - sizes
+        names, code = np.unique(hashes.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        pairs = pairs.select(["text_a", "text_b"]).sort_by("text_a")
+        a, b = (np.searchsorted(ids, pairs.column(x).to_numpy()) for x in ("text_a", "text_b"))
+        marked, both = np.zeros(len(names), bool), np.zeros(len(a), "int64")
+        runs = np.r_[0, np.flatnonzero(np.diff(a)) + 1, len(a)]
+        for low, high in zip(runs[:-1], runs[1:]):
+            own = code[starts[a[low]] : starts[a[low]] + sizes[a[low]]]
+            marked[own] = True
+            step = np.cumsum(sizes[b[low:high]]) // PART
+            cuts = low + np.r_[0, np.flatnonzero(np.diff(step)) + 1, high - low]
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                to = b[x:y]
+                at = np.cumsum(sizes[to]) - sizes[to]
+                both[x:y] = np.add.reduceat(marked[code[np.repeat(starts[to] - at, sizes[to]) + np.arange(sizes[to].sum())]], at, dtype="int64")
+            marked[own] = False
+        found = both / (sizes[a] + sizes[b] - both)
+        parts = sets.column("parts").combine_chunks()
+        out = pairs.append_column("jaccard", pa.array(found)).append_column("parts_a", parts.take(pa.array(a))).append_column("parts_b", parts.take(pa.array(b)))
+        return out.filter(pa.array(found >= least))
 
     return checked
 
 
-def similar_pairs(sets: DataFrame, least: float = LEAST) -> DataFrame:
+def similar_pairs(sets: DataFrame, least: float = LEAST, chunks: DataFrame | None = None) -> DataFrame:
     """Pairs (seq_a < seq_b) of different paths with a Jaccard similarity of least or more, of sets as shingle_sets gives them,
-    or of distinct rows as shingles does.
+    or of distinct rows as shingles does. Where the chunks of the sets are given, only those needed are made into sets again.
 
     By prefix filter: in any one order of all shingles, two sets that similar share m of their first n - ceil(least * n) + m. The
     order is by hash, with common shingles last, as their pairs would grow with the square of their documents. Which ones are common
     is told from every SAMPLE-th text: that decides what the order costs, and not what it finds. Equal sets are one text, and are
-    expanded into pairs of rows only in the result. So of each set only the first shingles are shuffled, and of texts with a
-    candidate the sets, once for each cell of pairs that has them. Sets are made anew for each step, as they are larger than their texts."""
+    expanded into pairs of rows only in the result, in parts of about ROWS rows. So of each set only the first shingles are kept and
+    shuffled, and of texts with a candidate the sets, once for each cell of pairs that has them."""
     if "hashes" not in sets.columns:
         sets = written(sets.groupBy("seq", "path").agg(F.array_sort(F.collect_list("shingle")).alias("hashes"), F.count(F.lit(1)).cast("int").alias("n")), "clone-sets")
-    sets = sets.withColumn("text_id", F.xxhash64("hashes"))
-    rows = sets.where(F.pmod("text_id", F.lit(SAMPLE)) == 0).select(F.explode("hashes").alias("shingle"))
+    named = lambda df: df.withColumn("text_id", F.xxhash64("hashes"))
+    sampled = named(sets).where(F.pmod("text_id", F.lit(SAMPLE)) == 0) if chunks is None else shingle_sets(chunks.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0))
+    rows = sampled.select(F.explode("hashes").alias("shingle"))
     common = rows.groupBy("shingle").count().where(F.col("count") >= OFTEN).orderBy(F.col("count").desc(), "shingle").limit(COMMON).select("shingle").toPandas()["shingle"]
     common = np.sort(common.to_numpy("int64"))
-    heads = sets.select("text_id", "n", "path", "hashes").mapInArrow(_heads(least, common), "shingle long, text_id long, n int, path string")
-    # dealt by shingle once, for the texts of a shingle and for the join
-    texts = heads.repartition("shingle").groupBy("shingle", "text_id", "n").agg(F.min("path").alias("low"), F.max("path").alias("high"))
-    a, b = texts.alias("a"), texts.alias("b")
-    near = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.text_id") < F.col("b.text_id")) & (F.least("a.n", "b.n") >= F.lit(least) * F.greatest("a.n", "b.n") - SLACK)
-    near = near & ((F.col("a.low") != F.col("b.high")) | (F.col("a.high") != F.col("b.low")))
-    smaller = F.least("a.n", "b.n")
-    met = a.join(b, near).select(F.col("a.text_id").alias("text_a"), F.col("b.text_id").alias("text_b"), F.least(F.ceil(smaller * least - SLACK), MET + F.floor(smaller / MET_EACH)).alias("need"))
-    pairs = written(met.groupBy("text_a", "text_b").agg(F.count(F.lit(1)).alias("both"), F.min("need").alias("need")).where("both >= need").select("text_a", "text_b"), "clone-pairs")
-    rows = written(sets.select("text_id", "seq", "path", "n"), "clone-rows")
-    used = pairs.select(F.explode(F.array("text_a", "text_b")).alias("text_id")).distinct()
-    used = rows.groupBy("text_id").agg(F.min("seq").alias("seq"), F.max("n").alias("n")).join(used, "text_id")
-    used = written(used.select("text_id", "seq", "n"), "clone-used")
+    schema = T.StructType([T.StructField("text_id", T.LongType()), *(sets.schema[x] for x in ("seq", "path", "n")), T.StructField("heads", T.ArrayType(T.LongType()))])
+    rows = written(named(sets).select("text_id", "seq", "path", "n", "hashes").mapInArrow(_heads(least, common), schema), "clone-rows")
+    texts = rows.groupBy("text_id", "n").agg(F.min("seq").alias("seq"), F.min("path").alias("low"), F.max("path").alias("high"), F.count(F.lit(1)).alias("copies"))
+    texts = texts.withColumn("parts", F.ceil(F.col("copies") / ROWS).cast("int"))
+    texts = written(texts, "clone-texts")
+    # a text of several rows is found by its first one; a path is known by its hash, if a text has one alone
+    copied = texts.where("copies > 1").select("text_id", F.col("seq").alias("first"), (F.col("low") != F.col("high")).alias("several"))
+    n_copied, n_heads = copied.count(), rows.agg(F.coalesce(F.sum(F.size("heads")), F.lit(0))).first()[0]
+    heads = rows.join(F.broadcast(copied) if n_copied <= COMMON else copied, "text_id", "left").where("first IS NULL OR seq = first")
+    heads = heads.select("text_id", F.col("n").cast("long").alias("n"), F.when(~F.coalesce("several", F.lit(False)), F.xxhash64("path")).alias("only"), F.explode("heads").alias("shingle"))
+    parts = max(-(-n_heads // CELL), int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = heads.repartition(parts, "shingle").mapInArrow(_met(least), "text_a long, text_b long, both long, need long")
+    pairs = written(met.groupBy("text_a", "text_b").agg(F.sum("both").alias("both"), F.min("need").alias("need")).where("both >= need").select("text_a", "text_b"), "clone-pairs")
+    # texts that are alike have mostly one least text in common, and so a cell; what is too large for one has many
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("text_a").alias("text_id"), F.col("text_a").alias("near")), F.struct(F.col("text_b").alias("text_id"), F.col("text_a").alias("near")))).alias("x")).select("x.*")
+    used = written(texts.join(ends.groupBy("text_id").agg(F.min("near").alias("near")), "text_id").select("text_id", "seq", "n", "parts", "near"), "clone-used")
     size, n_used = used.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    side = max(1, -(-size // CELL))
-    cell = lambda x: F.pmod(F.xxhash64(F.lit(1), x), F.lit(side)).cast("int")
-    pairs = pairs.withColumns({"i": cell(F.col("text_a")), "j": cell(F.col("text_b"))})
+    side, most = max(1, -(-size // CELL)), max(1, CELL // 4)
+    large = used.groupBy("near").agg(F.ceil(F.sum("n") / most).alias("cells")).where("cells > 1")
+    own_cell = F.xxhash64("near", F.pmod(F.xxhash64("text_id"), "cells"))
+    cells = used.join(F.broadcast(large), "near", "left").select("text_id", F.when(F.col("cells").isNull(), F.pmod(F.xxhash64("near"), F.lit(side))).otherwise(own_cell).alias("cell"))
+    known = lambda x: F.broadcast(x) if n_used <= COMMON else x
+    for text, place in (("text_a", "i"), ("text_b", "j")):
+        pairs = pairs.join(known(cells.select(F.col("text_id").alias(text), F.col("cell").alias(place))), text)
+    pairs = pairs.select("text_a", "text_b", "i", "j")
     places = pairs.select(F.explode(F.array("text_a", "text_b")).alias("text_id"), F.col("i").alias("si"), F.col("j").alias("sj")).distinct()
-    wanted = used.select("text_id", "seq")
-    own = written(sets.join(F.broadcast(wanted) if n_used <= COMMON else wanted, ["text_id", "seq"]).select("text_id", "hashes"), "clone-sets")
-    links = pairs.groupBy("i", "j").cogroup(places.join(own, "text_id").groupBy("si", "sj")).applyInArrow(_checked(least), "text_a long, text_b long, jaccard double")
+    if chunks is not None:
+        sets = shingle_sets(chunks.join(known(used.select("seq")), "seq"))
+    own = written(named(sets).join(known(used.select("text_id", "seq", "parts")), ["text_id", "seq"]).select("text_id", "hashes", "parts"), "clone-sets")
+    links = pairs.groupBy("i", "j").cogroup(places.join(own, "text_id").groupBy("si", "sj")).applyInArrow(_checked(least), "text_a long, text_b long, jaccard double, parts_a int, parts_b int")
     links = written(links, "clone-links")
-    copies = rows.groupBy("text_id").agg(F.min("path").alias("low"), F.max("path").alias("high")).where("low <> high")
-    links = links.unionByName(copies.select(F.col("text_id").alias("text_a"), F.col("text_id").alias("text_b"), F.lit(1.0).alias("jaccard")))
-    x, y = (rows.select(F.col("text_id").alias(f"text_{e}"), F.col("seq").alias(f"s{e}"), F.col("path").alias(f"p{e}")) for e in "ab")
-    found = links.join(x, "text_a").join(y, "text_b").where("pa <> pb AND (text_a <> text_b OR sa < sb)")
-    return found.select(F.least("sa", "sb").alias("seq_a"), F.greatest("sa", "sb").alias("seq_b"), "jaccard")
+    copies = texts.where("low <> high").select(F.col("text_id").alias("text_a"), F.col("text_id").alias("text_b"), F.lit(1.0).alias("jaccard"), F.col("parts").alias("parts_a"), F.col("parts").alias("parts_b"))
+    links = links.unionByName(copies)
+    # a text's rows in parts, so that the pairs of a text of many rows are made in many tasks
+    links = links.withColumn("part_a", F.explode(F.sequence(F.lit(0), F.col("parts_a") - 1))).withColumn("part_b", F.explode(F.sequence(F.lit(0), F.col("parts_b") - 1)))
+    links = links.where("text_a <> text_b OR part_a <= part_b").select("text_a", "text_b", "jaccard", "part_a", "part_b")
+    part = F.pmod(F.xxhash64("seq"), F.col("parts")).cast("int")
+    members = rows.select("text_id", "seq", "path").join(texts.select("text_id", "parts"), "text_id").groupBy("text_id", part.alias("part")).agg(F.collect_list(F.struct("seq", "path")).alias("rows"))
+    x, y = (members.select(F.col("text_id").alias(f"text_{e}"), F.col("part").alias(f"part_{e}"), F.col("rows").alias(f"rows_{e}")) for e in "ab")
+    found = links.join(x.hint("merge"), ["text_a", "part_a"]).join(y.hint("merge"), ["text_b", "part_b"])
+    found = found.withColumn("a", F.explode("rows_a")).withColumn("b", F.explode("rows_b")).where("a.path <> b.path AND (text_a <> text_b OR part_a < part_b OR a.seq < b.seq)")
+    return found.select(F.least("a.seq", "b.seq").alias("seq_a"), F.greatest("a.seq", "b.seq").alias("seq_b"), "jaccard")
 
 
 def components(edges: DataFrame) -> DataFrame:

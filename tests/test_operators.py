@@ -153,6 +153,61 @@ def test_copies_are_expanded_in_the_result_alone(spark, monkeypatch):
         assert seen["clone-pairs"].count() < 300 < len(want)
 
 
+def test_shingles_are_those_of_the_sql(spark):
+    import random
+
+    import duckdb
+
+    from diffmill.plans.code import SHINGLES
+
+    rng = random.Random(5)
+    parts = ["ab", "É", "_", "x1", "12", "١٢", "½", "ⅷ", "日本", "\U00011f04", "\U0002ebf0", "a\u0301", "\u200b", "\x0b", "\x85", "\xa0", "\u2028", " ", "\n", "\t", "--", "😀", "\0", "a\x0bb 1a _1 1_"]
+    texts = ["", "a b c d", "a b c d e", " a b c d e ", "-----", "1a1a1a1a", None, "x " * 50]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(300)]
+    items = [("p", i, x) for i, x in enumerate(texts)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (source VARCHAR, doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", items)
+    want = {}
+    for seq, shingle in con.execute(f"WITH {SHINGLES} SELECT seq, shingle FROM sh").fetchall():
+        want.setdefault(seq, set()).add(shingle)
+    got = {r.seq: r for r in clones.shingle_sets(spark.createDataFrame(items, "path string, seq long, text string")).collect()}
+    assert {k: len(x) for k, x in want.items()} == {k: r.n for k, r in got.items()} == {k: len(set(r.hashes)) for k, r in got.items()}
+    # equal shingles of different texts are one hash, and different ones differ
+    known = {x for k in want for x in want[k]}
+    assert len(known) == len({h for r in got.values() for h in r.hashes})
+    assert all(len(want[a] & want[b]) == len(set(got[a].hashes) & set(got[b].hashes)) for a in want for b in want)
+
+
+def test_near_copies_in_blocks_and_few_sets_made_again(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    base, other = [f"b{i}" for i in range(60)], [f"c{i}" for i in range(60)]
+    texts = []
+    for i in range(120):
+        words = list(base if i % 3 else other)
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(60)] = f"w{i}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"t{i}_{j}" for j in range(60)) for i in range(300)]
+    items = [(f"p{i % 3 if i % 7 else 0}", i, t) for i, t in enumerate(texts)]
+    sets = {s: {tuple(t.split()[j : j + 5]) for j in range(56)} for _, s, t in items}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for pa, a, _ in items[:120] for pb, b, _ in items[:120] if a < b and pa != pb and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    chunks = spark.createDataFrame(items, "path string, seq long, text string")
+    made, make = [], clones.shingle_sets
+    monkeypatch.setattr(clones, "shingle_sets", lambda df, *a: made.append(df) or make(df, *a))
+    for cell, rows, part in ((1 << 22, 256, 1 << 18), (300, 2, 500)):
+        made.clear()
+        monkeypatch.setattr(clones, "CELL", cell)
+        monkeypatch.setattr(clones, "ROWS", rows)
+        monkeypatch.setattr(clones, "PART", part)
+        got = clones.similar_pairs(clones.shingle_sets(chunks), chunks=chunks).collect()
+        assert len(got) == len(want) and {(r.seq_a, r.seq_b): r.jaccard for r in got} == want
+        assert "Join" not in made[0]._jdf.queryExecution().executedPlan().toString() and made[1].count() < 100 and made[2].count() <= 120
+    assert clones.similar_pairs(make(chunks.where("seq < 0")), chunks=chunks.where("seq < 0")).count() == 0
+
+
 def test_greedy_pairs_use_each_once(spark):
     pairs = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 3, 4), (1, 1, 4)], "pr int, seq_a int, seq_b int")
     assert sorted((r.seq_a, r.seq_b) for r in clones.greedy(pairs, "pr").collect()) == [(1, 2), (3, 4)]
