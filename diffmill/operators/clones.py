@@ -179,16 +179,24 @@ def _heads(least: float, common: np.ndarray):
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The shingles of each set that come first in the order: those not common before common ones, then by hash. So many that a
         similar set has MET + n // MET_EACH of them among its own."""
+        told = np.zeros(1 << 20, bool)
+        told[common.view("uint64") >> np.uint64(44)] = True
         for batch in batches:
-            flat, ends = batch.column("hashes").flatten().to_numpy(zero_copy_only=False), np.cumsum(batch.column("n").to_numpy())
-            first = [np.zeros(0, "int64")]
-            for start, end in zip(np.r_[0, ends[:-1]], ends):
-                n = int(end - start)
+            flat, ends = batch.column("hashes").flatten().to_numpy(zero_copy_only=False), np.cumsum(batch.column("n").to_numpy(), dtype="int64")
+            starts, first = np.r_[0, ends[:-1]], [np.zeros(0, "int64")]
+            if not np.isin(np.flatnonzero(flat[1:] < flat[:-1]) + 1, starts).all():
+                flat = np.concatenate([np.sort(flat[start:end]) for start, end in zip(starts, ends)])
+            # few shingles have the first bits of a common one: only those are looked up
+            seen = told[flat.view("uint64") >> np.uint64(44)]
+            if len(common):
+                at = np.flatnonzero(seen)
+                seen[at] = common[np.minimum(np.searchsorted(common, flat[at]), len(common) - 1)] == flat[at]
+            some = np.add.reduceat(seen, starts, dtype="int64") if len(ends) else starts
+            for start, end, many in zip(starts.tolist(), ends.tolist(), some.tolist()):
+                n, own = end - start, flat[start:end]
                 alike = math.ceil(least * n - SLACK)
-                own = np.sort(flat[start:end])
-                if len(common):
-                    seen = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
-                    own = np.concatenate([own[~seen], own[seen]])
+                if many:
+                    own = np.concatenate([own[~seen[start:end]], own[seen[start:end]]])
                 first.append(own[: n - alike + min(alike, MET + n // MET_EACH)])
             offsets = np.cumsum([len(x) for x in first])
             values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(first)))
